@@ -1,0 +1,65 @@
+"""Secrets and personal data against plain regular expressions, and their defined cases."""
+
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestone.llm import pii, secrets
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+pieces = st.lists(st.sampled_from(["a@b.co", "@", ".", "-", "+", "1", "23", "4111 1111 1111 1111", "192.168.0.1", "256.1.1.1", "+1 (499) 555-6503", " ", "x", "é", "iban ", "DE89370400440532013000", "token=", "secret: ", "'", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef", "0123456789abcdef"]), max_size=14).map("".join)
+
+
+def plain_pii(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(EMAIL, text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(IP, text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(CARD, text):
+        d = re.sub("[ -]", "", m[0])
+        total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1]))
+        if 12 <= len(d) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(PHONE, text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def plain_secrets(text):
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.A | re.I) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(pieces)
+def test_base_spans_equal_plain_patterns(text):
+    assert [x for x in pii.scan([text])[0] if x[1] < 4] == plain_pii(text)
+    assert secrets.scan([text])[0][0] == plain_secrets(text)
+
+
+def test_added_spans_keep_base_ones():
+    text = "pay to iban DE89 3704 0044 0532 0130 00 or ssh://me:pass@host, key AIzaSyA1234567890abcdefghijklmnopqrstuv"
+    kinds = {pii.KINDS[k] for _, k, _ in pii.scan([text])[0]}
+    assert {"account", "login"} <= kinds
+    base, full = secrets.scan([text])
+    assert set(base[0]) <= set(full[0])
+    assert any(k == 3 for _, k, _ in full[0])
+
+
+def test_ordinary_text_has_no_grammar_spans():
+    assert secrets.scan(["The internationalisation-of-things at /usr/local/lib/python3/site in 2024-01-01T00:00:00"])[1] == [[]]
+    assert secrets.scan([None, "", " " * 100_000 + "a" * 100_000])[1][:2] == [[], []]
+
+
+def test_long_runs_take_linear_time():
+    pii.scan(["1" * 200_000, "a" * 200_000 + "@", "@" * 10_000, "1." * 50_000])
+
+
+def test_redaction_covers_overlaps():
+    text = 'x token = "0123456789abcdef0123456789abcdef" y'
+    assert secrets.redact(text, secrets.scan([text])[1][0]) == 'x [SECRET]" y'
+    assert secrets.redact(None, []) is None
