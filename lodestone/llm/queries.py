@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql
+from . import langid, sql, toxicity, warc
+from .common import new_path
 from .minhash import near_duplicates
 from .pii import find_pii
 from .secrets import find_secrets
@@ -24,6 +25,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.training_text(docs))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_path(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -33,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": sql.NEAR_DEDUP}
+    return {"op1_minhash_near_dedup": sql.NEAR_DEDUP, "op5_warc": sql.WARC}
