@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import langid, sql, toxicity, warc
 from .common import new_path
 from .minhash import near_duplicates
+from .packing import pack
 from .pii import find_pii
 from .secrets import find_secrets
 
@@ -41,6 +42,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
