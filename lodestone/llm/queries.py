@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, sql, toxicity, warc
+from . import langid, spm, sql, toxicity, warc
 from .common import new_path
 from .minhash import near_duplicates
 from .packing import pack
@@ -46,6 +46,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digests(spm.encode_documents(table(spark, sf_dir, "documents")))
+
+
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
