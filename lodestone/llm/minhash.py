@@ -124,7 +124,7 @@ def _sets(blocks):
 def _confirm(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """pairs (a, b, na, nb) with the size of their full sets' intersection."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(map_arrow(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), ["id", "text"], "id long, s array<long>", _sets, 256), f"{name}-sets")
+    sets = staged(map_arrow(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), ["id", "text"], "id long, s array<long>", _sets, 256), f"{name}-sets")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return staged(both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common")), name)
