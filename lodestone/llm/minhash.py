@@ -8,8 +8,9 @@ Signatures take two permutations only: ``sigma`` scatters the shingles' cells ov
 ``pi``, circularly shifted by k, gives coordinate k. Bands of ROWS coordinates make buckets.
 With 28 bands of 6 a pair at the threshold is missed with probability (1 - 0.85**6)**28, below
 2e-6. Every pair that a bucket proposes is either confirmed on its full sets, already joined
-through other confirmed links, or excluded by set sizes or the triangle inequality of the
-Jaccard distance; no bucket is capped.
+through other confirmed links, or excluded by the sets' sizes or by the whole signatures: of the
+168 coordinates, four bits of each kept, a pair at the threshold differs in 24 on average and in
+more than SKETCH_DIFFER with probability below 1e-7. No bucket is capped.
 
 Defined cases: null, empty or blank texts have an empty set, their own id as component and are
 kept; equal sets form one class, so exact copies are never paired; repeated rows give one result
@@ -28,6 +29,7 @@ from .common import connected_components, is_empty, map_arrow, staged
 
 WORDS, CELLS, BANDS, ROWS = 5, 1 << 20, 28, 6
 PERCENT = 85
+SKETCH_DIFFER, SKETCH_LONGS = 49, -(-BANDS * ROWS // 16)
 CACHE_WORDS, CHUNK = 400_000, 1 << 17
 
 _rng = np.random.default_rng(20_231_104)
@@ -97,23 +99,30 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return _mix((s * _BAND[None, :, :ROWS]).sum(axis=2, dtype=np.uint64) + _BAND[None, :, ROWS]).view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of every coordinate, 16 to a long."""
+    bits = np.zeros((len(sig), SKETCH_LONGS * 16), np.uint64)
+    bits[:, : sig.shape[1]] = sig & 15
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (bits.reshape(len(sig), SKETCH_LONGS, 16) << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def _features(blocks):
     for block in blocks:
         sets = [shingles(t) for t in block["text"]]
-        keys: list[list[int] | None] = [None] * len(sets)
+        keys: list = [None] * len(sets)
+        marks: list = [None] * len(sets)
         group, size = [], 0
         for i, s in enumerate(sets):
             if len(s):
                 group.append(i)
                 size += len(s)
             if group and (size >= CHUNK or i == len(sets) - 1):
-                for j, row in zip(group, band_keys(signatures([sets[j] for j in group])), strict=True):
-                    keys[j] = row
+                sig = signatures([sets[j] for j in group])
+                for j, key, mark in zip(group, band_keys(sig), sketches(sig), strict=True):
+                    keys[j], marks[j] = key, mark
                 group, size = [], 0
-        if group:
-            for j, row in zip(group, band_keys(signatures([sets[j] for j in group])), strict=True):
-                keys[j] = row
-        yield {"id": block["id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": keys}
+        yield {"id": block["id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": keys, "sketch": marks}
 
 
 def _sets(blocks):
@@ -141,9 +150,9 @@ def _linked():
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = staged(map_arrow(docs, ["id", "text"], "id long, n long, fp binary, bands array<long>", _features), "shingle-features")
+    feats = staged(map_arrow(docs, ["id", "text"], "id long, n long, fp binary, bands array<long>, sketch array<long>", _features), "shingle-features")
     known = feats.where("id is not null and n > 0")
-    classes = staged(known.groupBy("fp").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    classes = staged(known.groupBy("fp").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
 
     keys = classes.select("rep", "n", F.explode("bands").alias("h"))
     hubs = keys.groupBy("h").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -153,7 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.where(_linked()).select("a", "b")
     comps = connected_components(links)
 
-    more = _confirm(staged(_across(members, tested, comps), "more-pairs"), docs, "more-links").where(_linked()).select("a", "b")
+    more = _confirm(staged(_across(members, tested, comps, classes.select("rep", "sketch")), "more-pairs"), docs, "more-links").where(_linked()).select("a", "b")
     if not is_empty(more):
         comps = connected_components(links.unionAll(more))
 
@@ -162,24 +171,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(members: DataFrame, tested: DataFrame, comps: DataFrame) -> DataFrame:
+def _across(members: DataFrame, tested: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs of a bucket in different components so far, which its hub's test didn't settle.
 
     One side holds only members outside the hub's component, so a large group of near copies,
-    which joins its hub, isn't paired with itself. Distances to the hub bound the pair's own
-    (Jaccard distance is a metric), which excludes most of the rest unread.
+    which joins its hub, isn't paired with itself.
     """
-    near = tested.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("j"))
     of = comps.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     hub_of = comps.select(F.col("id").alias("hub"), F.col("component").alias("hc"))
-    m = members.join(near, ["hub", "rep"], "left").join(of, "rep", "left").join(hub_of, "hub", "left")
-    m = staged(m.select("h", "rep", "n", "hub", "j", F.coalesce("c", "rep").alias("c"), F.coalesce("hc", "hub").alias("hc")), "bucket-components")
-    x = m.where("c <> hc").select("h", *(F.col(k).alias(f"{k}1") for k in ("rep", "n", "j", "c", "hc")))
-    y = m.where("rep <> hub").select("h", *(F.col(k).alias(f"{k}2") for k in ("rep", "n", "j", "c")))
-    slack = F.lit(1 - PERCENT / 100 + 1e-9)
-    wanted = (F.col("c1") != F.col("c2")) & _sizes_allow(F.col("n1"), F.col("n2")) & (F.coalesce(F.abs(F.col("j1") - F.col("j2")), F.lit(0.0)) <= slack) & ((F.col("c2") == F.col("hc1")) | (F.col("rep1") < F.col("rep2")))
+    m = members.join(of, "rep", "left").join(hub_of, "hub", "left").select("h", "rep", "n", "hub", F.coalesce("c", "rep").alias("c"), F.coalesce("hc", "hub").alias("hc"))
+    open_buckets = m.where("c <> hc").select("h").distinct()
+    m = staged(m.where("rep <> hub").join(open_buckets, "h", "left_semi").join(marks, "rep"), "bucket-components")
+    x = m.where("c <> hc").select("h", *(F.col(k).alias(f"{k}1") for k in ("rep", "n", "c", "hc", "sketch")))
+    y = m.select("h", *(F.col(k).alias(f"{k}2") for k in ("rep", "n", "c", "sketch")))
+    wanted = (F.col("c1") != F.col("c2")) & _sizes_allow(F.col("n1"), F.col("n2")) & ((F.col("c2") == F.col("hc1")) | (F.col("rep1") < F.col("rep2"))) & (_differing(F.col("sketch1"), F.col("sketch2")) <= SKETCH_DIFFER)
     p = x.join(y, "h").where(wanted)
     small = F.col("rep1") < F.col("rep2")
     swap = lambda k: (F.when(small, F.col(f"{k}1")).otherwise(F.col(f"{k}2")), F.when(small, F.col(f"{k}2")).otherwise(F.col(f"{k}1")))
     (a, b), (na, nb) = swap("rep"), swap("n")
     return p.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _differing(a, b):
+    """How many coordinates' four bits differ."""
+    total = F.lit(0)
+    for i in range(SKETCH_LONGS):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
