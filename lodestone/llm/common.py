@@ -120,3 +120,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     found = staged(found, "roots")
     least = found.groupBy("root").agg(F.min("id").alias("component"))
     return staged(found.join(least, "root").select("id", "component"), "components")
+
+
+def keep_rows(docs: DataFrame, text_col: str, build: Callable[[], Callable[[list], list[bool]]], rows: int = 128) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text the function that ``build`` makes on a worker keeps."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        keep = build()
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

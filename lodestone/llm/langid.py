@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import keep_rows, map_arrow
 
 TRAIN_CHARS, TRAIN_DOCS = 60_000, 200
 UNDETERMINED = "und"
@@ -194,3 +194,15 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = map_arrow(docs, ["id", "text"], "doc_id long, lang_pred string, score double", rows, 128)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_determined(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is undetermined; all columns stay. If nothing was
+    learned, no text is rejected but those without a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(texts)
+
+    def build():
+        model = Model(shared.value)
+        return lambda block: [p[0] != UNDETERMINED or (not model.names and bool(words(t))) for p, t in zip(model.predict(block), block, strict=True)]
+
+    return keep_rows(docs, text_col, build)

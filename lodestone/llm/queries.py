@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, spm, sql, toxicity, warc
+from . import ann, langid, spm, sql, toxicity, vecdedup, warc
 from .common import new_path
 from .minhash import near_duplicates
 from .packing import pack
@@ -46,6 +46,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(spm.encode_documents(table(spark, sf_dir, "documents")))
 
@@ -54,9 +58,13 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": sql.NEAR_DEDUP, "op5_warc": sql.WARC}
+    return {"op1_minhash_near_dedup": sql.NEAR_DEDUP, "op5_warc": sql.WARC, "op10_embedding_near_dedup": sql.VECTOR_DEDUP}

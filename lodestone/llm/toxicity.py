@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import keep_rows, map_arrow
 
 PER_CLASS = 1500
 SIZES = (3, 4, 5, 6)
@@ -149,19 +149,10 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the model rejects; all columns stay."""
-    return _filter(docs, model, text_col)
-
-
-def _filter(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    import pyarrow as pa
-
-    shared, at = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept)), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
-    def run(batches):
+    def build():
         local = Model(*shared.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                yield part.filter(pa.array([local.score(t) < REJECT for t in part.column(at).to_pylist()], pa.bool_()))
+        return lambda texts: [local.score(t) < REJECT for t in texts]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text_col, build)
