@@ -130,21 +130,17 @@ def _sets(blocks):
         yield {"id": block["id"], "s": [shingles(t).view(np.int64) for t in block["text"]]}
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b, na, nb) with the size of their full sets' intersection."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(map_arrow(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), ["id", "text"], "id long, s array<long>", _sets, 256), f"{name}-sets")
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return staged(both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common")), name)
-
-
 def _sizes_allow(na, nb):
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
-def _linked():
-    return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
+def _linked(common, na, nb):
+    return 100 * common >= PERCENT * (na + nb - common)
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (rep, hub) with both sets, s and hub_s."""
+    return pairs.join(sets.withColumnRenamed("id", "rep"), "rep").join(sets.select(F.col("id").alias("hub"), F.col("s").alias("hub_s")), "hub")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,12 +153,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = classes.select("rep", "n", F.explode("bands").alias("h"))
     hubs = keys.groupBy("h").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = staged(keys.join(hubs, "h"), "bucket-members")
-    starred = members.where((F.col("rep") != F.col("hub")) & _sizes_allow(F.col("n"), F.col("hub_n")))
-    tested = _confirm(staged(starred.select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs"), docs, "hub-links")
-    links = tested.where(_linked()).select("a", "b")
+    ids = members.select(F.col("rep").alias("id")).distinct().hint("merge")
+    sets = staged(map_arrow(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), ["id", "text"], "id long, s array<long>", _sets, 256), "shingle-sets")
+    starred = members.where((F.col("rep") != F.col("hub")) & _sizes_allow(F.col("n"), F.col("hub_n"))).select("rep", "hub", "n", "hub_n").distinct()
+    common = F.size(F.array_intersect("s", "hub_s")).cast("long")
+    links = staged(_with_sets(staged(starred, "pairs"), sets).where(_linked(common, F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "hub-links")
     comps = connected_components(links)
 
-    more = _confirm(staged(_across(members, tested, comps, classes.select("rep", "sketch")), "more-pairs"), docs, "more-links").where(_linked()).select("a", "b")
+    more = staged(_across(members, comps, classes.select("rep", "sketch"), sets), "more-links")
     if not is_empty(more):
         comps = connected_components(links.unionAll(more))
 
@@ -171,25 +169,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(members: DataFrame, tested: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components so far, which its hub's test didn't settle.
+def _across(members: DataFrame, comps: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Further links (a, b) between members of one bucket in different components so far.
 
-    One side holds only members outside the hub's component, so a large group of near copies,
-    which joins its hub, isn't paired with itself.
+    Members meet under their bucket's hub. One side holds only members outside the hub's component,
+    so a large group of near copies, which joins its hub, isn't paired with itself. A member carries
+    only what its set differs from the hub's in, from which two members' exact intersection follows:
+    the join itself confirms links and puts out nothing else.
     """
     of = comps.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     hub_of = comps.select(F.col("id").alias("hub"), F.col("component").alias("hc"))
-    m = members.join(of, "rep", "left").join(hub_of, "hub", "left").select("h", "rep", "n", "hub", F.coalesce("c", "rep").alias("c"), F.coalesce("hc", "hub").alias("hc"))
-    open_buckets = m.where("c <> hc").select("h").distinct()
-    m = staged(m.where("rep <> hub").join(open_buckets, "h", "left_semi").join(marks, "rep"), "bucket-components")
-    x = m.where("c <> hc").select("h", *(F.col(k).alias(f"{k}1") for k in ("rep", "n", "c", "hc", "sketch")))
-    y = m.select("h", *(F.col(k).alias(f"{k}2") for k in ("rep", "n", "c", "sketch")))
-    wanted = (F.col("c1") != F.col("c2")) & _sizes_allow(F.col("n1"), F.col("n2")) & ((F.col("c2") == F.col("hc1")) | (F.col("rep1") < F.col("rep2"))) & (_differing(F.col("sketch1"), F.col("sketch2")) <= SKETCH_DIFFER)
-    p = x.join(y, "h").where(wanted)
-    small = F.col("rep1") < F.col("rep2")
-    swap = lambda k: (F.when(small, F.col(f"{k}1")).otherwise(F.col(f"{k}2")), F.when(small, F.col(f"{k}2")).otherwise(F.col(f"{k}1")))
-    (a, b), (na, nb) = swap("rep"), swap("n")
-    return p.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    m = members.join(of, "rep", "left").join(hub_of, "hub", "left").where("rep <> hub").select("h", "rep", "n", "hub", F.coalesce("c", "rep").alias("c"), F.coalesce("hc", "hub").alias("hc"))
+    open_buckets = m.groupBy("h").agg(F.max(F.col("c") != F.col("hc")).alias("strays"), (F.min("c") != F.max("c")).alias("several")).where("strays and several").select("h")
+    m = staged(m.join(open_buckets, "h", "left_semi").select("rep", "n", "hub", "c", "hc").distinct().join(marks, "rep"), "open-members")
+    apart = F.concat(F.array_except("s", "hub_s"), F.array_except("hub_s", "s"))
+    m = staged(_with_sets(m, sets).select("rep", "n", "hub", "c", "hc", "sketch", apart.alias("d")), "differences")
+    x = m.where("c <> hc").select("hub", "hc", *(F.col(k).alias(f"{k}1") for k in ("rep", "n", "c", "sketch", "d")))
+    y = m.select("hub", *(F.col(k).alias(f"{k}2") for k in ("rep", "n", "c", "sketch", "d")))
+    n1, n2 = F.col("n1"), F.col("n2")
+    common = (n1 + n2 - F.size("d1") - F.size("d2") + 2 * F.size(F.array_intersect("d1", "d2"))) / 2
+    once = (F.col("c2") == F.col("hc")) | (F.col("rep1") < F.col("rep2"))
+    wanted = (F.col("c1") != F.col("c2")) & once & _sizes_allow(n1, n2) & (_differing(F.col("sketch1"), F.col("sketch2")) <= SKETCH_DIFFER) & _linked(common, n1, n2)
+    return x.join(y, "hub").where(wanted).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def _differing(a, b):
