@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -35,7 +37,7 @@ from .common import staged
 
 CAPACITY, END = 2048, 0
 NEARLY_FULL, CARRIED, FAN_IN = 8, 32, 8
-CACHE_PARTS, CACHE_WORDS = 250_000, 250_000
+CACHE_PARTS, CACHE_WORDS = 600_000, 500_000
 #: White space next to a split, which the plain split would cut differently.
 _TIGHT = re.compile(r"\s \s|\s \Z")
 _SAFE = re.compile(r" (?=\S)")
@@ -63,14 +65,17 @@ class Encoder:
             if len(self.word_ids) >= CACHE_WORDS:
                 self.word_ids.clear()
             shown = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            self.word_ids[word] = got = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.word_ids[word] = got = _bytes([t.id for t in self.model.tokenize(shown)])
         return got
 
+    def _text(self, text: str) -> bytes:
+        if max(text) >= "԰":  # letters whose classes depend on the Unicode version
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join([self._word(w) for w in self.words.findall(text)])
+
     def _part(self, part: str) -> bytes:
-        if max(part) >= "԰":  # letters whose classes depend on the Unicode version
-            got = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            got = b"".join([self._word(w) for w in self.words.findall(part)])
+        """Ids of a space and ``part``."""
+        got = self._text(f" {part}")
         if len(part) <= 64:
             if len(self.part_ids) >= CACHE_PARTS:
                 self.part_ids.clear()
@@ -80,15 +85,20 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         """The document's ids, ended by END."""
         if not text:
-            return END.to_bytes(4, "little")
+            return _bytes([END])
         first, *rest = _SAFE.split(text) if _TIGHT.search(text) else text.split(" ")
-        known, out = self.part_ids, [self._part(first)] if first else []
-        for p in rest:
-            p = f" {p}"
-            got = known.get(p)
-            out.append(self._part(p) if got is None else got)
-        out.append(END.to_bytes(4, "little"))
-        return b"".join(out)
+        out = list(map(self.part_ids.get, rest))
+        if None in out:
+            out = [self._part(p) if got is None else got for p, got in zip(rest, out, strict=True)]
+        return b"".join([self._text(first) if first else b"", *out, _bytes([END])])
+
+
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @cache
