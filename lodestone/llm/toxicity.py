@@ -30,7 +30,7 @@ from .common import keep_rows, map_arrow
 
 PER_CLASS = 1500
 SIZES = (3, 4, 5, 6)
-MIN_ROWS, MIN_RATIO, MIN_SIGMA, SMOOTH, L2, STEPS = 4, 1.5, 3.0, 1.0, 0.02, 300
+MIN_ROWS, MIN_RATIO, MIN_SIGMA, SMOOTH, L2, STEPS = 4, 1.5, 1.5, 1.0, 0.02, 300
 REJECT = 0.7
 
 _SPLIT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

@@ -39,7 +39,7 @@ def test_documents_against_brute_force(spark):
         base = list(rng.choice(words, 120))
         for k in range(10):
             t = list(base)
-            for _ in range(int(rng.integers(0, 7))):
+            for _ in range(int(rng.integers(0, 4))):
                 t[int(rng.integers(120))] = "new" + str(rng.integers(1000))
             texts[100 * g + k] = " ".join(t)
     texts |= {9000: None, 9001: "", 9002: " \t ", 9003: "one two", 9004: "ONE  two", 9005: "one two three", 9006: texts[0], 9007: "x " * 30_000, 9008: "Ärger über é x y"}

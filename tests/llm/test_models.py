@@ -20,7 +20,7 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(out) > 500
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in out)
     wrong = sum(r["predicted"] != r["toxic"] for r in out)
-    assert wrong <= 0.02 * len(out)
+    assert wrong <= 0.03 * len(out)
 
 
 @needs_tables
