@@ -254,3 +254,28 @@ def informed_actions(truth: DataFrame) -> DataFrame:
     gone = F.col("expected") == "DELETE_ROW"
     fix = t.where("expected is not null").select(F.lit(0).cast("bigint").alias("episode"), (3 * F.col("ord") + 2).cast("int").alias("step"), F.lit("fix").alias("action_type"), ROW, "column", F.lit(None).cast("string").alias("issue_type"), F.when(~gone, F.col("expected")).alias("new_value"), F.when(gone, "delete_row").otherwise("correct_value").alias("fix_type"), F.lit("known").alias("justification"))
     return diagnose.unionAll(fix)
+
+
+def random_actions(spark, episodes: int, steps: int, rows: int, columns: list[str], types: tuple[str, ...], seed: int = 0) -> DataFrame:
+    """Seeded sessions: about 40 % inspections, 30 % diagnoses, 20 % fixes and 10 % endings, by hash."""
+    base = spark.range(episodes * steps).select(F.floor(F.col("id") / steps).alias("episode"), (F.col("id") % steps + 1).cast("int").alias("step"), F.col("id"))
+    draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(n))
+    word = lambda salt, words: F.element_at(F.array(*map(F.lit, words)), (draw(salt, len(words)) + 1).cast("int"))
+    kind = F.when(draw("kind", 10) < 4, "inspect").when(draw("kind", 10) < 7, "diagnose").when(draw("kind", 10) < 9, "fix").otherwise("finalize")
+    out = base.withColumn("action_type", F.when(F.col("step") == steps, "finalize").otherwise(kind))
+    located = F.col("action_type").isin("diagnose", "fix")
+    return out.select("episode", "step", "action_type", F.when(located, draw("row", rows)).alias(ROW), F.when(located, word("column", columns)).alias("column"), F.when(F.col("action_type") == "diagnose", word("type", types)).alias("issue_type"), F.when(F.col("action_type") == "fix", F.lit("random")).alias("new_value"), F.lit(None).cast("string").alias("fix_type"), F.lit(None).cast("string").alias("justification"))
+
+
+def next_uninspected(rows: DataFrame, inspected: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` rows not inspected yet: what an agent without a better idea looks at."""
+    return rows.select(ROW).join(inspected.select(ROW).distinct(), ROW, "left_anti").orderBy(ROW).limit(n)
+
+
+def fallback_action(step: int, most_steps: int, task: str, seen_products: bool, seen_rules: bool) -> str:
+    """'finalize' near the budget's end, then what the order task needs first, else 'inspect'."""
+    if step >= 0.9 * most_steps:
+        return "finalize"
+    if task == "task_3_integrity_auditor" and not seen_products:
+        return "products"
+    return "business_rules" if task == "task_3_integrity_auditor" and not seen_rules else "inspect"
