@@ -78,7 +78,7 @@ CLASS = f"CASE WHEN regexp_matches(v, '{NUM}') THEN 'numeric' WHEN regexp_matche
 @query(f"WITH {ORDERS}, u AS (UNPIVOT o ON custkey, status, price, odate, priority INTO NAME col VALUE v) SELECT col AS \"column\", {CLASS} AS class, count(*) AS n FROM u WHERE v <> '' GROUP BY ALL")
 def type_class_counts(spark, sf_dir):
     o = orders_text(spark, sf_dir)
-    u = o.unpivot([ROW], detect.cells(o), "column", "v").where(~is_blank(F.col("v")))
+    u = o.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in detect.cells(o)))).alias("x")).select("x.*").where(~is_blank(F.col("v")))
     return u.groupBy("column", classify(F.col("v")).alias("class")).agg(F.count("*").alias("n"))
 
 
