@@ -632,3 +632,91 @@ def latency_p95(spark, sf_dir):
 def action_distribution(spark, sf_dir):
     kind = reduce(lambda c, kv: c.when(F.col("event_type") == kv[0], kv[1]), [("click", "inspect"), ("view", "diagnose"), ("purchase", "fix"), ("signup", "finalize")], F.when(F.lit(False), "")).otherwise("other")
     return audit.action_summary(table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), kind.alias("action_type"), (F.col("value") - 5).alias("delta")))
+
+
+LOGGED = "a AS (SELECT event_id AS action_id, CASE event_type WHEN 'click' THEN 'fix' WHEN 'view' THEN 'diagnose' WHEN 'purchase' THEN 'inspect' ELSE event_type END AS action_type, CASE WHEN event_id % 6 <> 0 THEN event_id % 500 END AS _row, CASE WHEN event_id % 7 <> 0 THEN 'email' END AS \"column\", CASE WHEN event_id % 4 = 0 THEN 'delete_row' END AS fix_type, CASE WHEN event_id % 5 <> 0 THEN 'v' END AS new_value FROM events)"
+
+
+def logged_actions(spark, sf_dir):
+    k, t = F.col("event_id"), F.col("event_type")
+    kind = F.when(t == "click", "fix").when(t == "view", "diagnose").when(t == "purchase", "inspect").otherwise(t)
+    return table(spark, sf_dir, "events").select(k.alias("action_id"), kind.alias("action_type"), F.when(k % 6 != 0, k % 500).alias(ROW), F.when(k % 7 != 0, "email").alias("column"), F.when(k % 4 == 0, "delete_row").alias("fix_type"), F.when(k % 5 != 0, "v").alias("new_value"))
+
+
+@query(f"WITH {LOGGED}, e AS (SELECT action_id, CASE WHEN action_type NOT IN ('inspect', 'diagnose', 'fix', 'finalize') THEN 'unknown action' WHEN action_type IN ('diagnose', 'fix') AND (_row IS NULL OR \"column\" IS NULL) THEN 'a row and a column are needed' WHEN action_type = 'fix' AND fix_type IS NULL AND new_value IS NULL THEN 'a new value is needed' WHEN action_type = 'fix' AND fix_type IS NOT NULL AND new_value IS NOT NULL THEN 'a deletion has no new value' END AS error FROM a) SELECT * FROM e WHERE error IS NOT NULL")
+def action_validation(spark, sf_dir):
+    return audit.action_errors(logged_actions(spark, sf_dir)).where("error is not null").select("action_id", "error")
+
+
+@query("WITH s AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) SELECT event_id, step, CASE WHEN step > 24 THEN -0.02 ELSE 0 END::DOUBLE AS penalty FROM s")
+def late_penalties(spark, sf_dir):
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", step.cast("bigint").alias("step")).withColumn("penalty", audit.late_penalty(F.col("step"), audit.STEPS["task_1_format_fixer"]))
+
+
+@query(f"WITH {ACTIONS} SELECT type, count(*) AS total, count(expected) AS fixable, count(*) - count(expected) AS detection_only FROM t GROUP BY type")
+def truth_census(spark, sf_dir):
+    from ..operators.generate import truth_census
+
+    return truth_census(actions_of_events(spark, sf_dir)[1])
+
+
+@query(f"WITH {ACTIONS}, r AS (SELECT *, count(*) OVER (PARTITION BY _row, \"column\") AS n FROM t) SELECT ord, CASE WHEN _row > 300 THEN 'row' WHEN \"column\" = 'phone' THEN 'column' WHEN type NOT IN ('missing_value', 'format_error', 'type_mismatch', 'duplicate', 'near_duplicate', 'cross_field', 'business_rule', 'referential_integrity', 'outlier') THEN 'type' ELSE 'repeated' END AS fault FROM r")
+def truth_validation(spark, sf_dir):
+    from ..operators.generate import truth_faults
+
+    rows = table(spark, sf_dir, "events").where("event_id <= 300").select(F.col("event_id").alias(ROW))
+    return truth_faults(actions_of_events(spark, sf_dir)[1], rows, ["email", "name"]).select("ord", "fault")
+
+
+@query("SELECT o_orderkey AS _row FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY 1 LIMIT 10")
+def uninspected_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW))
+    return audit.next_uninspected(rows, rows.where(F.col(ROW) % 3 == 0))
+
+
+@query("SELECT o_orderkey AS _row, o_orderstatus FROM orders WHERE o_orderkey IN (7, 3, 11)")
+def inspected_rows(spark, sf_dir):
+    return profile.rows_at(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW), "o_orderstatus"), [7, 3, 11, -1])
+
+
+@query("""WITH k AS (SELECT c_custkey AS r, 'email' AS why, lower('U' || (c_custkey // 3) || '@x.org') AS k FROM customer UNION ALL SELECT c_custkey, 'phone', CAST(5550000 + c_custkey // 5 AS VARCHAR) FROM customer
+  UNION ALL SELECT c_custkey, 'name', 'a' || (c_custkey // 7) || ' b' FROM customer), f AS (SELECT why, k, min(r) AS a FROM k GROUP BY ALL) SELECT a, r AS b, why FROM k JOIN f USING (why, k) WHERE r > a""")
+def same_person_pairs(spark, sf_dir):
+    k = F.col("c_custkey")
+    third, fifth, seventh = (F.floor(k / n).cast("string") for n in (3, 5, 7))
+    name = F.when(k % 2 == 0, F.concat(F.lit("A"), seventh, F.lit(" b"))).otherwise(F.concat(F.lit("B a"), seventh))
+    phone = F.concat_ws("-", F.lit("+"), F.substring((F.floor(k / 5) + 5550000).cast("string"), 1, 3), F.substring((F.floor(k / 5) + 5550000).cast("string"), 4, 9))
+    t = table(spark, sf_dir, "customer").select(k.alias(ROW), name.alias("name"), F.concat(F.when(k % 2 == 0, "U").otherwise("u"), third, F.lit("@X.org")).alias("email"), phone.alias("phone"))
+    return rules.same_person(t, "name", "email", "phone")
+
+
+@query("SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+def token_estimates(spark, sf_dir):
+    from ..functions.text import token_estimate
+
+    return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT o_orderkey, CAST(least(make_date(2023, CAST(1 + o_orderkey % 12 AS BIGINT), 1) + CAST(o_orderkey % 31 AS INTEGER), last_day(make_date(2023, CAST(1 + o_orderkey % 12 AS BIGINT), 1))) AS DATE)::VARCHAR AS day FROM orders")
+def month_end_dates(spark, sf_dir):
+    from ..operators.generate import month_end
+
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", month_end(F.format_string("2023-%02d-%02d", 1 + k % 12, 1 + k % 31)).alias("day"))
+
+
+@query()
+def episode_replay(spark, sf_dir):
+    a, t = actions_of_events(spark, sf_dir)
+    step = F.row_number().over(Window.partitionBy("episode").orderBy("action_id"))
+    kind = F.when(F.col("action_id") % 4 == 3, "fix").otherwise("diagnose")
+    acts = a.select("episode", step.alias("step"), kind.alias("action_type"), ROW, "column", "issue_type", F.concat(F.lit("v"), F.col(ROW).cast("string")).alias("new_value"), F.lit("correct_value").alias("fix_type"), F.lit(None).cast("string").alias("justification"))
+    return audit.replay(acts, t, 500, audit.STEPS["task_3_integrity_auditor"])
+
+
+@query()
+def generated_orders(spark, sf_dir):
+    from ..operators.generate import episode_table
+
+    return episode_table(spark, "task_3_integrity_auditor")[0]
