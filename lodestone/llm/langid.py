@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, map_arrow
 
-TRAIN_CHARS, TRAIN_DOCS = 60_000, 200
+TRAIN_CHARS, TRAIN_DOCS = 32_000, 200
 UNDETERMINED = "und"
 CACHE_WORDS, DENSE_CELLS = 300_000, 30_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -77,7 +77,7 @@ class Transitions:
         keys = np.array([s * self.width + code[c] for s, d in enumerate(step) for c in d], np.int64)
         to = np.array([t for d in step for t in d.values()], np.int32)
         if dense:
-            self.table = np.zeros(len(step) * self.width, np.int32)
+            self.table = np.zeros(len(step) * self.width, np.uint16 if len(step) <= 1 << 16 else np.int32)
             self.table[keys] = to
         else:
             order = np.argsort(keys)
@@ -115,10 +115,9 @@ class Model:
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
-        steps = [suffix_automaton(texts[n]) for n in self.names]
         code = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts.values()))))}
-        dense = sum(map(len, steps)) * (len(code) + 1) <= DENSE_CELLS
-        self.automata = [Transitions(s, code, dense) for s in steps]
+        dense = 2 * sum(map(len, texts.values())) * (len(code) + 1) <= DENSE_CELLS  # an automaton has at most two states a letter
+        self.automata = [Transitions(suffix_automaton(texts[n]), code, dense) for n in self.names]
         self.bits = np.array([math.log2(max(2, len(texts[n]))) for n in self.names])
         self.code = np.zeros(0x110000, np.int32)
         self.code[[ord(c) for c in code]] = list(code.values())
@@ -148,7 +147,7 @@ class Model:
         return [self._choose(f) for f in found]
 
     def _choose(self, found: list[str]) -> tuple[str, float]:
-        if not found:
+        if not any(c.isalpha() for w in found for c in w):
             return UNDETERMINED, 0.0
         total = self.counts[[self.rows[w] for w in found]].sum(axis=0, dtype=np.int64)
         cost = total * self.bits / (sum(map(len, found)) + 2 * len(found))

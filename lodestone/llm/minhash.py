@@ -123,11 +123,13 @@ def _features(blocks):
                     keys[j], marks[j] = key, mark
                 group, size = [], 0
         yield {"id": block["id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": keys, "sketch": marks}
+    _words.clear()  # the worker's next task may need the memory for something else
 
 
 def _sets(blocks):
     for block in blocks:
         yield {"id": block["id"], "s": [shingles(t).view(np.int64) for t in block["text"]]}
+    _words.clear()
 
 
 def _sizes_allow(na, nb):
