@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .shards import dealt, matrix, usable
+from .shards import by_group, dealt, matrix, usable
 
 TABLES, PROBES, SEED = 10, 12, 5
 
@@ -122,6 +122,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 out += zip([q] * len(ids), ids, scores, strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = dealt(rows, asked, sizes["n"], asked.count()).groupBy("shard", "block").applyInPandas(answer, "query_id long, vec_id long, score double")
+    found = by_group(dealt(rows, asked, sizes["n"], asked.count()), answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

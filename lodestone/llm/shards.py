@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,23 @@ def dealt(base: DataFrame, queries: DataFrame, n_base: int, n_queries: int) -> D
 
 def matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.empty((0, 0))
+
+
+def by_group(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` of each (shard, block), each in a task of its own.
+
+    Groups are placed by number: hashing would put several heavy groups into one task, and small
+    inputs would be coalesced, though the work in a group far exceeds its bytes.
+    """
+    sizes = rows.agg(F.max("shard").alias("s"), F.max("block").alias("b")).first()
+    if sizes["s"] is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    blocks = sizes["b"] + 1
+    placed = rows.repartitionById((sizes["s"] + 1) * blocks, (F.col("shard") * blocks + F.col("block")).cast("int"))
+
+    def run(batches):
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield fn(pd.concat(parts, ignore_index=True))
+
+    return placed.mapInPandas(run, schema)

@@ -4,8 +4,9 @@ Equal vectors form one class. Classes are dealt into shards of bounded size; eac
 graph of its classes and every class queries every shard. A search descends the layers greedily
 and widens a beam on the lowest one. Widths grow in two ways: a query that finds links is repeated
 until its beam is over twice as wide as what it found, and each shard audits a sample of its queries
-against brute force and doubles the first width until the audit's recall passes. Found pairs are
-verified by their cosine in double precision.
+against brute force and doubles the first width until the audit's recall passes (at WIDEST it
+stops; parts that no link reaches are linked while building, so audits pass long before). Found
+pairs are verified by their cosine in double precision.
 
 A shard's task joins the links it found by union-find and emits only a spanning forest of them
 and each query's number of links, so a large group costs its size, not its square; the forests'
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, staged
-from .shards import dealt, matrix, usable
+from .shards import by_group, dealt, matrix, usable
 
 LINKS, LINKS_BASE, BUILD_WIDTH, FIRST_WIDTH = 8, 16, 24, 12
 BATCH, SEED = 256, 3
-AUDITED, RECALL = 48, 0.99
+AUDITED, RECALL, WIDEST = 48, 0.99, 256
 NEAR = 1e-4
 
 
@@ -103,6 +104,27 @@ class Graph:
         self.layers: list[np.ndarray] = []
         for l in range(len(sizes) - 1, -1, -1):
             self._add_layer(sizes[l], LINKS if l else LINKS_BASE)
+        self._connect()
+
+    def _connect(self) -> None:
+        """Give the nearest reachable row with a free place a link to each part that can't be reached."""
+        near = np.concatenate([self.layers[-1], np.full((len(self.x), 1), -1, np.int64)], axis=1)
+        reached = np.zeros(len(near), bool)
+        start = 0
+        while True:
+            reached[start], front = True, np.array([start])
+            while len(front):
+                front = np.unique(near[front])
+                front = front[front >= 0]
+                front = front[~reached[front]]
+                reached[front] = True
+            if reached.all():
+                break
+            start = int(np.flatnonzero(~reached)[0])
+            sims = self.x @ self.x[start]
+            sims[~reached | (near[:, -1] >= 0)] = -3.0
+            near[int(sims.argmax()), -1] = start
+        self.layers[-1] = near
 
     def _entry(self, q: np.ndarray) -> np.ndarray:
         at = np.zeros(len(q), np.int64)
@@ -175,7 +197,7 @@ def shard_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
     graph, width = Graph(ids, x), FIRST_WIDTH
     audit = np.argsort(_mixed(qids), kind="stable")[:AUDITED]
     truth = [np.flatnonzero(x @ q[i] >= least) for i in audit]
-    while width < len(x):
+    while width < min(WIDEST, len(x)):
         found = graph.within(q[audit], least, width)
         hits = sum(np.isin(t, f).sum() for t, f in zip(truth, found, strict=True))
         if hits >= RECALL * sum(map(len, truth)):
@@ -209,7 +231,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     d, n = (common["d"], common["n"]) if common else (0, 0)
     same = classes.where(F.size("v") == d)
     work = dealt(same, same, n, n).join(classes.select("id", "w"), "id")
-    found = staged(work.groupBy("shard", "block").applyInPandas(lambda g: shard_links(g, least), "id long, n long, a long, b long"), "vector-links")
+    found = staged(by_group(work, lambda g: shard_links(g, least), "id long, n long, a long, b long"), "vector-links")
     comps = connected_components(found.where("a is not null").select("a", "b"))
     links = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     named = classes.join(links, "id", "left").join(comps, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
