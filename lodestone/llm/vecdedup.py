@@ -3,10 +3,12 @@
 Equal vectors form one class. Classes are dealt into shards of bounded size; each shard builds a
 graph of its classes and every class queries every shard. A search descends the layers greedily
 and widens a beam on the lowest one. Widths grow in two ways: a query that finds links is repeated
-until its beam is over twice as wide as what it found, and each shard audits a sample of its queries
-against brute force and doubles the first width until the audit's recall passes (at WIDEST it
-stops; parts that no link reaches are linked while building, so audits pass long before). Found
-pairs are verified by their cosine in double precision.
+until its beam is over twice as wide as what it found, and each shard audits its first width and
+doubles it until the recall passes. The audit holds the links of a sample of queries by brute force,
+without a query's own row, and planted copies of rows turned until their cosine is the threshold, so
+it never is empty, however sparse links are. Where the audit fails and a wider beam would cost more
+than that, or is beyond WIDEST, the shard compares its queries exactly, in blocks. Found pairs are
+verified by their cosine in double precision.
 
 A shard's task joins the links it found by union-find and emits only a spanning forest of them
 and each query's number of links, so a large group costs its size, not its square; the forests'
@@ -30,8 +32,10 @@ from .shards import by_group, dealt, matrix, usable
 
 LINKS, LINKS_BASE, BUILD_WIDTH, FIRST_WIDTH = 8, 16, 24, 12
 BATCH, SEED = 256, 3
-AUDITED, RECALL, WIDEST = 48, 0.99, 256
+AUDITED, PLANTED, RECALL, WIDEST = 48, 512, 0.99, 256
 NEAR = 1e-4
+#: A place in the beam takes a query about as long as this many rows compared exactly.
+PLACE_ROWS = 1000
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -185,6 +189,43 @@ class Graph:
         return out
 
 
+def planted(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and a copy of each, turned in a random direction until the cosine is ``least``."""
+    rng = np.random.default_rng(SEED)
+    rows = rng.permutation(len(x))[:PLANTED]
+    base, cos = x[rows], min(1.0, least + NEAR / 100)
+    aside = rng.normal(size=base.shape)
+    aside -= np.einsum("bd,bd->b", aside, base)[:, None] * base
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+    copies = cos * base + np.sqrt(1 - cos * cos) * aside
+    return rows, copies / np.linalg.norm(copies, axis=1, keepdims=True)
+
+
+def audited_width(graph: Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, least: float) -> int | None:
+    """The first width whose audit passes, or None where comparing exactly is cheaper or none up to WIDEST does."""
+    audit = np.random.default_rng(SEED).permutation(len(q))[:AUDITED]
+    truth = [t[ids[t] != qids[i]] for i in audit for t in [np.flatnonzero(x @ q[i] >= least)]]
+    rows, copies = planted(x, least)
+    width = FIRST_WIDTH
+    while width <= WIDEST:
+        hits = sum(np.isin(t, f).sum() for t, f in zip(truth, graph.within(q[audit], least, width), strict=True))
+        kept = sum(r in f for r, f in zip(rows, graph.within(copies, least, width), strict=True))
+        if hits >= RECALL * sum(map(len, truth)) and kept >= RECALL * len(rows):
+            return width
+        width *= 2
+        if width * PLACE_ROWS > len(x):
+            break
+    return None
+
+
+def exact_within(x: np.ndarray, q: np.ndarray, least: float):
+    """Rows at least ``least`` similar to each unit query, all of them, a block of queries at a time."""
+    base, step = x.astype(np.float32), max(1, (1 << 24) // len(x))
+    for i in range(0, len(q), step):
+        r, c = np.nonzero(q[i : i + step].astype(np.float32) @ base.T >= least - NEAR)
+        yield from np.split(c, np.searchsorted(r, np.arange(1, len(q[i : i + step]))))
+
+
 def shard_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
     """Rows (id, n) of each query's links in this shard, and rows (a, b) of a spanning forest."""
     base, asked = group[group["base"]].sort_values("id", ignore_index=True), group[~group["base"]].sort_values("id", ignore_index=True)
@@ -194,15 +235,9 @@ def shard_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
     ids, weight, qids = base["id"].to_numpy(), base["w"].to_numpy(), asked["id"].to_numpy()
     unit = lambda v: v / np.abs(v).max(axis=1, keepdims=True) / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True)
     x, q = unit(matrix(base["v"])), unit(matrix(asked["v"]))
-    graph, width = Graph(ids, x), FIRST_WIDTH
-    audit = np.argsort(_mixed(qids), kind="stable")[:AUDITED]
-    truth = [np.flatnonzero(x @ q[i] >= least) for i in audit]
-    while width < min(WIDEST, len(x)):
-        found = graph.within(q[audit], least, width)
-        hits = sum(np.isin(t, f).sum() for t, f in zip(truth, found, strict=True))
-        if hits >= RECALL * sum(map(len, truth)):
-            break
-        width *= 2
+    graph = Graph(ids, x)
+    width = audited_width(graph, ids, x, qids, q, least)
+    links = exact_within(x, q, least) if width is None else graph.within(q, least, width)
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -211,7 +246,7 @@ def shard_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
         return i
 
     counts, forest = [], []
-    for i, near in enumerate(graph.within(q, least, width)):
+    for i, near in enumerate(links):
         near = near[(x[near] @ q[i] >= least) & (ids[near] != qids[i])] if len(near) else near
         if len(near):
             counts.append((qids[i], int(weight[near].sum())))

@@ -4,6 +4,7 @@ import gzip
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestone.llm import ann, minhash, vecdedup, warc
@@ -91,6 +92,30 @@ def test_vectors_against_brute_force(spark):
     assert all(out[i]["kept"] and out[i]["n_links"] == 0 for i in range(700, 706))
 
 
+def test_sparse_links_of_vectors_are_audited():
+    r = np.random.default_rng(9)
+    x = r.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, q = vecdedup.planted(x, 0.95)
+    assert len(rows) == vecdedup.PLANTED and np.allclose(np.einsum("bd,bd->b", x[rows], q), 0.95, atol=1e-5)
+    rows, q, lone = rows[:200], q[:200], r.normal(size=(10_000, 64))
+    ids = 10_000_000 + np.arange(10_200)
+    frame = pd.DataFrame({"base": [True] * 6000 + [False] * 10_200, "id": np.concatenate([np.arange(6000), ids]), "w": 1, "v": [*x, *lone, *q]})
+    out = vecdedup.shard_links(frame, 0.95)
+    assert (out["id"] >= 10_010_000).sum() >= 0.99 * len(rows)
+
+
+def test_failed_audits_compare_exactly(monkeypatch):
+    r = np.random.default_rng(10)
+    x = r.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, q = vecdedup.planted(x, 0.95)
+    monkeypatch.setattr(vecdedup.Graph, "within", lambda self, q, least, width: [np.empty(0, np.int64)] * len(q))
+    frame = pd.DataFrame({"base": [True] * 500 + [False] * len(q), "id": np.arange(500 + len(q)), "w": 1, "v": [*x, *q]})
+    out = vecdedup.shard_links(frame, 0.95)
+    assert out["n"].sum() == (q @ x.T >= 0.95).sum() >= len(q)
+
+
 def test_search_against_brute_force(spark):
     x, df = vectors(spark)
     out = ann.search(df, lambda i: i % 20 == 0, 20).collect()
