@@ -4,7 +4,10 @@ The grammar of each labelled credential family is inferred by state merging: a p
 its examples' symbols (character classes; literals where a family's prefix fixes them), whose
 states merge when the Hoeffding bound can't tell their outgoing frequencies apart. Every
 candidate token of a text is scored by each automaton's log-likelihood a symbol, against a
-character-class model of ordinary tokens; the best family above MARGIN adds a span.
+character-class model of ordinary tokens; the best family above MARGIN adds a span. Families with a
+prefix are tried wherever it stands after no letter or digit, or after a percent escape, over the
+run of their own letters; the others on the parts of a candidate between '=' and '.', whole and
+without the plain words of a path.
 
 The labelled credentials are examples drawn from published credential formats by a seeded
 generator, so that no real secret is stored here; the negative class is ordinary words.
@@ -58,7 +61,18 @@ def labelled_credentials(family: str, n: int = EXAMPLES) -> list[str]:
     """Seeded examples of a family; the same on every machine."""
     prefix, letters, low, high = FORMATS[family]
     rng = random.Random(f"{SEED}:{family}")
-    return [prefix + "".join(rng.choices(letters, k=rng.randint(low, high))) for _ in range(n)]
+    words = [prefix + "".join(rng.choices(letters, k=rng.randint(low, high))) for _ in range(n)]
+    if family == "web_token":  # all but every third: header, payload and signature
+        words = [w if i % 3 == 0 else f"{w[:20]}.{prefix}{w[20:-24]}.{w[-24:]}" for i, w in enumerate(words)]
+    return words
+
+
+#: A family's prefix and the run of its letters, after no letter or digit or after a percent escape.
+RUNS = {f: re.escape(p) + f"[{re.escape(letters)}]++" for f, (p, letters, _, _) in FORMATS.items() if p}
+RUNS["web_token"] += r"(?:\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)?+"
+PREFIXED = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{2}))(?:" + "|".join(f"(?P<{f}>{r})" for f, r in RUNS.items()) + ")")
+PART = re.compile(r"[A-Za-z0-9+/_-]++=*+")
+LEAST = 16
 
 
 def _symbol(c: str) -> str:
@@ -134,17 +148,15 @@ class Automaton:
                 self._fold(match, state)
             known = set(red)
             blue = [(r, x) for r in red for x, to in self.next[r].items() if to not in known]
-        self.next = {r: self.next[r] for r in red}
+        self.next, self.count = {r: self.next[r] for r in red}, {r: self.count[r] for r in red}
 
     def loglik(self, word: str) -> float:
         """Natural log-likelihood a symbol, with the end; unseen symbols get a small share."""
         at, total = 0, 0.0
         for c in word:
             n, k = self.seen[at], self.count[at][c]
-            if not k:
-                return -9.0
-            total += math.log(k / n)
-            at = self.next[at][c]
+            total += math.log((k or 0.05) / (n + 0.1))
+            at = self.next[at].get(c, at)
         n = self.seen[at]
         total += math.log((self.ends[at] + 0.05) / (n + 0.1))
         return total / (len(word) + 1)
@@ -193,18 +205,52 @@ def base_spans(text: str, gates: tuple[bool, bool, bool] = (True, True, True)) -
 
 def grammar_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of credential-like format outside the base spans."""
-    out, free, i = [], sorted((s, e) for s, _, e in taken), 0
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while i < len(free) and free[i][1] <= a:
-            i += 1
-        if i == len(free) or free[i][0] >= b:
-            token = m[0].strip("=-_/")
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and format_score(token)[0] >= MARGIN:
+    out, free = [], Free(taken)
+    for m in PREFIXED.finditer(text):
+        for a, b in dict.fromkeys([m.span(), (m.start(), m.start() + len(m[0].split(".")[0]))]):
+            if b - a >= LEAST and free.holds(a, b) and format_score(text[a:b])[0] >= MARGIN:
                 out.append((a, 3, b))
+                break
+    free = Free(taken + out)
+    for m in CANDIDATE.finditer(text):
+        for p in PART.finditer(text, *m.span()):
+            a, b = p.span()
+            if b - a >= LEAST and free.holds(a, b):
+                c, d = plain_ends(p[0])
+                if credential(p[0]):
+                    out.append((a, 3, b))
+                elif d - c >= LEAST and credential(p[0][c:d]):
+                    out.append((a + c, 3, a + d))
     return out
 
 
+class Free:
+    """Whether spans, asked in the order of their starts, meet none of the taken ones."""
+
+    def __init__(self, taken: list[tuple[int, int, int]]):
+        self.taken, self.i = sorted((s, e) for s, _, e in taken), 0
+
+    def holds(self, a: int, b: int) -> bool:
+        while self.i < len(self.taken) and self.taken[self.i][1] <= a:
+            self.i += 1
+        return self.i == len(self.taken) or self.taken[self.i][0] >= b
+
+
+def credential(part: str) -> bool:
+    token = part.strip("=-_/")
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and format_score(token)[0] >= MARGIN
+
+
+def plain_ends(part: str) -> tuple[int, int]:
+    """The part without leading and trailing plain words between slashes."""
+    words = part.split("/")
+    plain = [not w or w.isalpha() and (w.islower() or w.isupper() or w.istitle()) for w in words]
+    if all(plain):
+        return 0, 0
+    first, last = plain.index(False), plain[::-1].index(False)
+    return sum(len(w) + 1 for w in words[:first]), len(part) - sum(len(w) + 1 for w in words[len(words) - last :])
+
+
 def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

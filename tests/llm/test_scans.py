@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,6 +51,22 @@ def test_added_spans_keep_base_ones():
     assert any(k == 3 for _, k, _ in full[0])
 
 
+@pytest.mark.parametrize("family", secrets.FORMATS)
+def test_every_family_is_found_wherever_it_stands(family):
+    for token in secrets.labelled_credentials(family, 340)[-40:]:
+        for frame in ("see {} there", "NAME={}", "GH_PAT={} x", "https://h.example/hooks/{}", "https://h.example/a?key={}&b=1", "a%3D{}"):
+            text = frame.format(token)
+            spans = secrets.scan([text])[1][0]
+            at = text.index(token)
+            assert any(s <= at and e >= at + len(token.rstrip("=-_/")) for s, _, e in spans), text
+
+
+def test_web_tokens_have_three_parts():
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    text = f"Bearer {token} end"
+    assert (7, 3, 7 + len(token)) in secrets.scan([text])[1][0]
+
+
 def test_ordinary_text_has_no_grammar_spans():
     assert secrets.scan(["The internationalisation-of-things at /usr/local/lib/python3/site in 2024-01-01T00:00:00"])[1] == [[]]
     assert secrets.scan([None, "", " " * 100_000 + "a" * 100_000])[1][:2] == [[], []]
