@@ -198,6 +198,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     items = pieces.where("carry > 0").select((F.shiftright("bin", 32) / FAN_IN).cast("long").alias("g"), "bin", F.col("carry").alias("used"))
     place = None
     while True:
+        top = items.agg(F.max("g")).first()[0]
         merged = staged(items.groupBy("g").applyInPandas(_merge(capacity), "g long, bin long, to long, shift long, used long"), "merged")
         moves = merged.select("bin", "to", "shift")
         if place is None:
@@ -206,8 +207,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             moves = moves.select(F.col("bin").alias("to"), F.col("to").alias("next"), F.col("shift").alias("more"))
             place = staged(place.join(moves, "to", "left").select("bin", F.coalesce("next", "to").alias("to"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "places")
         items = merged.where("used > 0").select("g", "bin", "used")
-        top = merged.agg(F.max("g")).first()[0]
-        if not top:
+        if not top:  # this round had one group
             break
     moved = pieces.join(place, "bin", "left")
     return moved.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("to", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))

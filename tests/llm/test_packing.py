@@ -49,5 +49,14 @@ def test_pack_whole_tables(spark):
     assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(long["start"], long["length"], strict=True)] == long["ids_crc32"].tolist()
 
 
+@pytest.mark.parametrize("partitions", [12, 70])
+def test_pack_meets_in_one_root(spark, partitions):
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(3 * partitions)], "doc_id long, text string").repartition(partitions)
+    out = packing.pack(docs).toPandas()
+    assert len(out) == 3 * partitions and out["sequence_id"].nunique() == 1
+    out = out.sort_values("offset")
+    assert out["offset"].tolist() == [0, *out["length"].cumsum()[:-1]]
+
+
 def test_pack_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
