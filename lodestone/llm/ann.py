@@ -3,7 +3,8 @@
 Three rounds of random signs and a fast Hadamard transform rotate a unit vector; the signed axis
 nearest to it (the largest coordinate and its sign) is its hash. TABLES rotations index every
 vector; a query probes the PROBES nearest axes of each table, collects the vectors filed there
-and reranks them by their exact inner product.
+and reranks them by their exact inner product. Where a shard files fewer than k others there, all
+its vectors are ranked, so a query gets k rows whenever there are k others.
 
 Vectors of unequal length are first lifted onto a common sphere (one more coordinate, after
 division by the largest norm), so the largest inner product is the nearest direction. The base is
@@ -93,6 +94,8 @@ class Index:
                     seen[by[starts[a] : starts[a + 1]]] = True
             found = np.flatnonzero(seen)
             found = found[self.ids[found] != qid[i]]
+            if len(found) < k:
+                found = np.flatnonzero(self.ids != qid[i])
             scores = self.x[found] @ q[i]
             if len(found) > k:
                 keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]

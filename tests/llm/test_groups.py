@@ -138,6 +138,18 @@ def test_search_with_few_or_no_vectors(spark):
     assert ann.search(none, lambda i: i == 0).count() == 0 and vecdedup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [15, 40, 100])
+def test_search_returns_all_of_few_candidates(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<float>")
+    out = ann.search(df, lambda i: i % 5 == 0).collect()
+    s = x.astype(float) @ x.astype(float).T
+    for q in range(0, n, 5):
+        best = [i for i in np.lexsort((np.arange(n), -s[q])) if i != q][:20]
+        mine = [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert mine == best
+
+
 def test_hadamard_keeps_lengths():
     x = rng.normal(size=(5, 24))
     assert np.allclose(np.linalg.norm(ann.rotations(x, 3), axis=1), np.linalg.norm(x, axis=1))
