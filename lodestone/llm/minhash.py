@@ -12,20 +12,26 @@ through other confirmed links, or excluded by the sets' sizes or by the whole si
 168 coordinates, four bits of each kept, a pair at the threshold differs in 24 on average and in
 more than SKETCH_DIFFER with probability below 1e-7. No bucket is capped.
 
+Texts are what links; ids only name them. Rows of one id with different texts are different
+documents, each with the component of its own text.
+
 Defined cases: null, empty or blank texts have an empty set, their own id as component and are
-kept; equal sets form one class, so exact copies are never paired; repeated rows give one result
-row each; a null id links with nothing and has a null component and is kept; an empty table
-gives an empty result; other columns are ignored.
+kept; equal sets form one class, so exact copies are never paired; texts of any length are read
+whole; a component's smallest id is no tie, and hubs, which are ties between equal buckets, don't
+show in results; repeated rows give one result row each; a null id links with nothing and has a
+null component and is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import connected_components, is_empty, map_arrow, staged
+from .common import connected_components, is_empty, map_arrow, settle, staged
 
 WORDS, CELLS, BANDS, ROWS = 5, 1 << 20, 28, 6
 PERCENT = 85
@@ -122,13 +128,18 @@ def _features(blocks):
                 for j, key, mark in zip(group, band_keys(sig), sketches(sig), strict=True):
                     keys[j], marks[j] = key, mark
                 group, size = [], 0
-        yield {"id": block["id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": keys, "sketch": marks}
+        yield {"id": block["id"], "n": [len(s) for s in sets], "fp": [_print(s) for s in sets], "bands": keys, "sketch": marks}
     _words.clear()  # the worker's next task may need the memory for something else
 
 
+def _print(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh128_digest(s.tobytes()) if len(s) else None
+
+
 def _sets(blocks):
     for block in blocks:
-        yield {"id": block["id"], "s": [shingles(t).view(np.int64) for t in block["text"]]}
+        sets = [shingles(t) for t in block["text"]]
+        yield {"fp": [_print(s) for s in sets], "s": [s.view(np.int64) for s in sets]}
     _words.clear()
 
 
@@ -142,21 +153,68 @@ def _linked(common, na, nb):
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (rep, hub) with both sets, s and hub_s."""
-    return pairs.join(sets.withColumnRenamed("id", "rep"), "rep").join(sets.select(F.col("id").alias("hub"), F.col("s").alias("hub_s")), "hub")
+    return pairs.join(sets, "rep").join(sets.select(F.col("rep").alias("hub"), F.col("s").alias("hub_s")), "hub")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return _grouped(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of smallest id, and of smallest
+    fingerprint among several texts of that id, once. Rows without words or without an id stay.
+
+    An id that one row has needs no look at its text again; rows of repeated ids are told apart by
+    their fingerprints.
+    """
+    found = staged(_grouped(docs, id_col, text_col).where("doc_id is not null"), "near-duplicates")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("c"), F.bool_or("kept").alias("kept"))
+    away = ids.where("c > 1 or not kept").select(F.col("doc_id").alias("__id"))
+    again = ids.where("c > 1").select(F.col("doc_id").alias("__id"))
+    key = F.col(id_col).cast("long")
+    single = docs.join(away.hint("merge"), key == F.col("__id"), "left_anti")
+    held = found.where("kept and fp is not null").join(again, F.col("doc_id") == F.col("__id"), "left_semi")
+    best = held.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min(F.hex("fp")).alias("fp")).select("__id", F.unhex("fp").alias("__best"))
+    several = _with_prints(docs.join(again.hint("merge"), key == F.col("__id"), "left_semi"), text_col)
+    blank = several.where("__fp is null").drop("__fp")
+    chosen = several.join(best, (key == F.col("__id")) & (F.col("__fp") == F.col("__best")), "left_semi")
+    return single.unionByName(blank).unionByName(chosen.withColumn("__key", key).dropDuplicates(["__key", "__fp"]).drop("__key", "__fp"))
+
+
+def _with_prints(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` and the fingerprint ``__fp`` of each text's set, null where that is empty."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                yield part.append_column("__fp", pa.array([_print(shingles(t)) for t in part.column(at).to_pylist()], pa.binary()))
+        _words.clear()
+        settle()
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", BinaryType())]))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, fp, root) for every row.
+
+    Classes are numbered by their first row, ``rep``; ``least`` is a class's smallest id, ``root``
+    the number of a component.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = staged(map_arrow(docs, ["id", "text"], "id long, n long, fp binary, bands array<long>, sketch array<long>", _features), "shingle-features")
+    feats = staged(map_arrow(docs, ["id", "text"], "id long, n long, fp binary, bands array<long>, sketch array<long>", _features).withColumn("row", F.monotonically_increasing_id()), "shingle-features")
     known = feats.where("id is not null and n > 0")
-    classes = staged(known.groupBy("fp").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = staged(known.groupBy("fp").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
 
     keys = classes.select("rep", "n", F.explode("bands").alias("h"))
     hubs = keys.groupBy("h").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = staged(keys.join(hubs, "h"), "bucket-members")
-    ids = members.select(F.col("rep").alias("id")).distinct().hint("merge")
-    sets = staged(map_arrow(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), ["id", "text"], "id long, s array<long>", _sets, 256), "shingle-sets")
+    named = classes.select("rep", "fp", "least").join(members.select("rep").distinct(), "rep", "left_semi")
+    ids = named.select(F.col("least").alias("id")).distinct().hint("merge")
+    # a row of the smallest id may also hold another text, which the fingerprints leave out
+    sets = staged(map_arrow(docs.join(ids, "id", "left_semi"), ["id", "text"], "fp binary, s array<long>", _sets, 256).join(named.select("fp", "rep"), "fp").dropDuplicates(["fp"]).select("rep", "s"), "shingle-sets")
     starred = members.where((F.col("rep") != F.col("hub")) & _sizes_allow(F.col("n"), F.col("hub_n"))).select("rep", "hub", "n", "hub_n").distinct()
     common = F.size(F.array_intersect("s", "hub_s")).cast("long")
     links = staged(_with_sets(staged(starred, "pairs"), sets).where(_linked(common, F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "hub-links")
@@ -166,8 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not is_empty(more):
         comps = connected_components(links.unionAll(more))
 
-    named = classes.select("fp", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = feats.select("id", "n", "fp").join(named, "fp", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    least = classes.select("rep", "least").join(comps.withColumnRenamed("id", "rep"), "rep").groupBy("component").agg(F.min("least").alias("first"))
+    named = classes.select("fp", "rep", "least").join(comps.join(least, "component").select(F.col("id").alias("rep"), "component", "first"), "rep", "left").select("fp", F.coalesce("first", "least").alias("name"), F.coalesce("component", "rep").alias("root"))
+    out = feats.select("id", "n", "fp").join(named, "fp", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("name", "id")).alias("component_id"), "fp", "root")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

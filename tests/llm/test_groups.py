@@ -200,3 +200,48 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
     assert pipeline.redact(spark, docs, "").where("doc_id = 103").first()["text"] == 'key [SECRET]" the end of it'
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def row_components(rows):
+    """Smallest id reachable of every row, by brute force over rows."""
+    s = [sets_of(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])]
+    of = components(range(len(rows)), links)
+    least = {}
+    for i, c in of.items():
+        least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    return of, [least[of[i]] for i in range(len(rows))]
+
+
+def repeated_ids():
+    text = lambda g, k: " ".join([f"g{g}w{i}" for i in range(56)] + [f"end{k}"])
+    rows = [(1, text(0, 0)), (1, text(1, 0)), (2, text(0, 1)), (3, text(1, 1)), (5, text(2, 0)), (5, text(3, 0)), (5, text(2, 0)), (4, text(2, 1)), (9, text(4, 0)), (9, text(4, 1)), (8, ""), (8, ""), (8, text(5, 0)), (7, None)]
+    return rows + [(6, text(5, 1))]
+
+
+@pytest.mark.parametrize("sort", [True, False])
+def test_repeated_ids_of_different_texts(spark, sort):
+    rows = repeated_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.repartitionByRange(3, "doc_id") if sort else df.repartition(4)
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+    _, want = row_components(rows)
+    assert out == sorted((i, len(sets_of(t)), c) for (i, t), c in zip(rows, want, strict=True))
+
+
+def test_drop_copies_loses_no_text(spark):
+    rows = repeated_ids() + [(None, "no id here"), (None, "no id here")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string").repartition(3)
+    out = minhash.drop_copies(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect())
+    of, least = row_components(rows[:-2])
+    groups = {}
+    for (i, t), c, first in zip(rows, of.values(), least, strict=False):
+        if sets_of(t):
+            groups.setdefault(c, set()).update([(i, t)] if i == first else [])
+    blank = [(i, t or "") for i, t in rows if not sets_of(t)]
+    assert len(got) == len(groups) + len(blank) + 2
+    for options in groups.values():
+        assert len(options & set(got)) == 1
+    assert all(b in got for b in blank)
