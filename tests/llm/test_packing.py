@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,3 +61,44 @@ def test_pack_meets_in_one_root(spark, partitions):
 
 def test_pack_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def global_fit(sizes):
+    return len(packing.best_fit(np.array(sizes, np.int64))[2])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80))
+def test_counted_fit_equals_one_by_one(sizes):
+    used = []
+    for n in sorted(sizes, reverse=True):
+        fits = [u for u in used if u + n <= 64]
+        if fits:
+            used[used.index(max(fits))] += n
+        else:
+            used.append(n)
+    assert sorted(packing.best_fit(np.array(sizes, np.int64), 64)[2].tolist()) == sorted(used)
+
+
+@pytest.mark.parametrize("mix", ["halves", "thirds", "lognormal"])
+def test_sorted_tables_pack_like_one_leaf(spark, mix):
+    r = np.random.default_rng(2)
+    n = 24_000
+    words = {"halves": np.where(r.random(n) < 0.5, r.integers(900, 1700, n), r.integers(20, 500, n)), "thirds": r.choice([300, 700, 1200], n), "lognormal": np.minimum(2000, r.lognormal(5.5, 1, n).astype(int) + 1)}[mix]
+    words.sort()
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "n": words})).selectExpr("doc_id", "repeat(' a', cast(n as int)) as text").repartitionByRange(16, "doc_id")
+    out = packing.pack(docs, leaf_rows=1000).toPandas()
+    assert out["length"].sum() == (words + 1).sum() and len(out) == n
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
+    places = out.sort_values(["sequence_id", "offset"])
+    ends = places.groupby("sequence_id")["length"].cumsum()
+    assert (places["offset"] == ends - places["length"]).all()
+    assert out["sequence_id"].nunique() <= 1.01 * global_fit(words + 1)
+
+
+def test_equal_lengths_are_no_task_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat(' a', 699) as text").repartition(6)
+    out = packing.pack(docs, leaf_rows=100).toPandas()
+    assert len(out) == 4000 and out["sequence_id"].nunique() == 2000
+    assert sorted(out["offset"]) == [0] * 2000 + [700] * 2000
