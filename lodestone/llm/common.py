@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,30 +12,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-_STAGED: list[str] = []
+_ROOTS: dict[str, str] = {}
+_OWNERS: list["Scratch"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) a folder of our own is made
-    and registered for the session.
+    Only where that is unset and the session runs in one process (tests, a single machine) a
+    temporary folder serves; a cluster without a shared folder is an error, as its executors
+    would each write to a folder of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="lodestone-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(_OWN[0])
-    return f"file://{_OWN[0]}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return f"file://{tempfile.gettempdir()}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def session_root(spark: SparkSession) -> str:
+    """The session's own folder in the shared one; Hadoop deletes it when the session's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = f"{shared_dir(spark)}/lodestone-{app}-{uuid.uuid4().hex[:8]}"
+        files, path = _file_system(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[app] = root
+    return _ROOTS[app]
+
+
+class Scratch:
+    """The owner of the tables that are staged while it is entered, which ``clear`` deletes.
+
+    Without an owner staged tables last as long as the session, since the frames returned read them.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        _OWNERS.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNERS.remove(self)
+
+    def clear(self, spark: SparkSession, needed: DataFrame | None = None) -> None:
+        """Delete its tables, but for those that ``needed`` still reads."""
+        used = needed.inputFiles() if needed is not None else []
+        for path in list(self.paths):
+            if not any(f"/{path.rsplit('/', 1)[1]}/" in x for x in used):
+                files, target = _file_system(spark, path)
+                files.delete(target, True)
+                self.paths.remove(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, remembered for ``release``."""
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    """A fresh path in the session's folder, which belongs to the scratch entered last."""
+    path = f"{session_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].paths.append(path)
     return path
 
 
@@ -50,19 +94,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, needed: DataFrame | None = None) -> None:
-    """Delete the tables staged so far, but for those that ``needed`` still reads.
-
-    Only for callers that have written out every earlier result, as the pipeline has.
-    """
-    used = needed.inputFiles() if needed is not None else []
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in list(_STAGED):
-        tail = path.split("/lodestone/")[-1]
-        if not any(f"/lodestone/{tail}/" in x for x in used):
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-            _STAGED.remove(path)
+def settle() -> None:
+    """Give memory that a finished task no longer needs back to the system; workers outlive tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], rows: int = 512) -> DataFrame:
@@ -81,6 +119,7 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iter
 
         for got in fn(blocks()):
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+        settle()
 
     return df.select(*columns).mapInArrow(run, out)
 
@@ -113,7 +152,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         pb_ = joined.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         left = staged(left.join(pa_, "a").join(pb_, "b").where("pa <> pb").select(*norm(F.col("pa"), F.col("pb"))).distinct(), "edges")
     if not maps:
-        return spark.createDataFrame([], "id long, component long")
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
     found = maps[0].select(F.col("node").alias("id"), F.col("parent").alias("root"))
     for m in maps[1:]:
         found = found.join(m.withColumnRenamed("node", "root"), "root", "left").select("id", F.coalesce("parent", "root").alias("root"))
@@ -132,5 +171,7 @@ def keep_rows(docs: DataFrame, text_col: str, build: Callable[[], Callable[[list
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
                 yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+        del keep
+        settle()
 
     return docs.mapInArrow(run, docs.schema)
