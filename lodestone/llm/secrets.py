@@ -1,19 +1,33 @@
 """Secret scans: exact base formats, and formats inferred as probabilistic automata.
 
 The grammar of each labelled credential family is inferred by state merging: a prefix tree of
-its examples' symbols (character classes; literals where a family's prefix fixes them), whose
-states merge when the Hoeffding bound can't tell their outgoing frequencies apart. Every
-candidate token of a text is scored by each automaton's log-likelihood a symbol, against a
-character-class model of ordinary tokens; the best family above MARGIN adds a span. Families with a
+its examples' symbols (character classes; literals where a family's prefix fixes them). States are
+taken up breadth first, those of most visits first. A state merges with an accepted one only if
+nothing tells them apart: by the Hoeffding bound its frequencies of symbols and ends, and those of
+the states below, and by the Kolmogorov-Smirnov bound the lengths of what may follow, pooled over
+all examples that pass. Of several such states it joins the one under which its own tails are
+likeliest, so a state with few visits, which no bound tells from anything, goes where its tails
+occur. A state with a tail that no accepted state has seen is accepted itself.
+So an automaton keeps the positions of a format of fixed length, and a narrow range of lengths.
+
+Every candidate token of a text is scored by each automaton's log-likelihood a symbol, against a
+character-class model of ordinary tokens; the best family above MARGIN adds a span. A token that
+ends where the automaton has seen no end isn't of that format, whatever its letters. Families with a
 prefix are tried wherever it stands after no letter or digit, or after a percent escape, over the
 run of their own letters; the others on the parts of a candidate between '=' and '.', whole and
-without the plain words of a path.
+without the plain words of a path. A candidate has LEAST letters or more (the shortest published
+format has 20), and without a prefix at least one digit and one letter, as all but a vanishing share
+of random tokens of these lengths do.
 
 The labelled credentials are examples drawn from published credential formats by a seeded
-generator, so that no real secret is stored here; the negative class is ordinary words.
-
-Defined cases: a null or empty text has no spans; spans are code points with exclusive ends;
-repeated rows give one row each; other columns are ignored.
+generator, so that no real secret is stored here; the negative class is ordinary words. The driver
+infers the automata and sends them to the tasks.
+
+Defined cases: a null or empty text has no spans; a very long text is read whole, by patterns that
+take linear time; spans are code points with exclusive ends; of families of equal score (a tie) the
+name decides, which spans don't show; repeated rows and null ids give one row each; an empty table
+gives an empty result; other columns, also of the names put out, are ignored by the scan and kept by
+``redact_secrets``.
 """
 
 from __future__ import annotations
@@ -23,15 +37,13 @@ import math
 import random
 import re
 import string
-from collections import Counter
-from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, settle
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -41,8 +53,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}+(?:\.[A-Za-z0-9+/_=-]{16,}+){0,2}
 #: Linear-time prefilters: a superset of the texts in which the pattern of that kind can match.
 GATES = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]", "hex": r"[0-9a-f]{24}", "grammar": r"[A-Za-z0-9+/_=-]{16}"}
 
-EXAMPLES, SEED = 300, 11
-ALPHA, MARGIN, MIN_SEEN = 0.05, 0.25, 12
+EXAMPLES, SEED = 1200, 11
+ALPHA, MARGIN, DEPTH = 0.05, 0.25, 2
 
 # Published prefixes and lengths of credential formats.
 FORMATS = {
@@ -80,41 +92,60 @@ def _symbol(c: str) -> str:
 
 
 class Automaton:
-    """A probabilistic automaton: state -> (visits, ends, {symbol: (count, next)})."""
+    """A probabilistic automaton: the visits, ends, symbol counts and next states of each state."""
 
-    def __init__(self, words: list[str]):
-        self.ends, self.seen = Counter(), Counter()
-        self.next: dict[int, dict[str, int]] = {0: {}}
-        self.count: dict[int, Counter] = {0: Counter()}
+    def __init__(self, words: list[list[str]]):
+        self.ends, self.seen = [0], [0]
+        self.next: list[dict[str, int]] = [{}]
+        self.count: list[dict[str, int]] = [{}]
+        self.tails: list[dict[int, int]] = [{}]  # how many letters may follow: how often
         for word in words:
             at = 0
-            for c in word:
+            for i, c in enumerate([*word, None]):
                 self.seen[at] += 1
-                self.count[at][c] += 1
+                self.tails[at][len(word) - i] = self.tails[at].get(len(word) - i, 0) + 1
+                if c is None:
+                    self.ends[at] += 1
+                    break
+                self.count[at][c] = self.count[at].get(c, 0) + 1
                 if c not in self.next[at]:
-                    new = len(self.next)
-                    self.next[at][c], self.next[new], self.count[new] = new, {}, Counter()
+                    self.next[at][c] = len(self.next)
+                    for column in (self.ends, self.seen):
+                        column.append(0)
+                    for column in (self.next, self.count, self.tails):
+                        column.append({})
                 at = self.next[at][c]
-            self.seen[at] += 1
-            self.ends[at] += 1
         self._merge_states()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
-    def _alike(self, a: int, b: int, depth: int = 3) -> bool:
+    def _alike(self, a: int, b: int, depth: int = DEPTH) -> bool:
         na, nb = self.seen[a], self.seen[b]
-        if not na or not nb:
-            return True
         if self._differ(self.ends[a], na, self.ends[b], nb):
             return False
         for c in self.count[a].keys() | self.count[b].keys():
-            if self._differ(self.count[a][c], na, self.count[b][c], nb):
+            if self._differ(self.count[a].get(c, 0), na, self.count[b].get(c, 0), nb):
                 return False
             if depth and c in self.next[a] and c in self.next[b] and not self._alike(self.next[a][c], self.next[b][c], depth - 1):
                 return False
         return True
 
+    def _same_tails(self, a: int, b: int) -> bool:
+        """Kolmogorov-Smirnov: whether the lengths of what follows may be of one distribution."""
+        ta, tb, na, nb = self.tails[a], self.tails[b], self.seen[a], self.seen[b]
+        total, most = 0.0, math.sqrt(-0.5 * math.log(ALPHA / 2) * (na + nb) / (na * nb))
+        for n in sorted(ta.keys() | tb.keys()):
+            total += ta.get(n, 0) / na - tb.get(n, 0) / nb
+            if abs(total) > most:
+                return False
+        return True
+
+    def _evidence(self, red: int, state: int) -> float:
+        """Log-likelihood of the state's tails under those of an accepted one; none if one never occurred there."""
+        tails, n = self.tails[red], self.seen[red]
+        return sum(k * math.log(tails[t] / n) if t in tails else -math.inf for t, k in self.tails[state].items())
+
     def _fold(self, into: int, gone: int) -> None:
         """Add the tree below ``gone`` to ``into``'s states."""
         todo = [(into, gone)]
@@ -122,7 +153,9 @@ class Automaton:
             a, b = todo.pop()
             self.seen[a] += self.seen[b]
             self.ends[a] += self.ends[b]
-            self.count[a] += self.count[b]
+            for mine, more in ((self.count[a], self.count[b]), (self.tails[a], self.tails[b])):
+                for k, n in more.items():
+                    mine[k] = mine.get(k, 0) + n
             for c, to in self.next[b].items():
                 if c in self.next[a]:
                     if self.next[a][c] != to:
@@ -131,40 +164,48 @@ class Automaton:
                     self.next[a][c] = to
 
     def _merge_states(self) -> None:
-        """Red states are final; each blue state (a red one's child) merges with a red one or turns red."""
-        red, blue = [0], list(self.next[0].items())
-        blue = [(0, c) for c, _ in blue]
-        while blue:
-            blue.sort(key=lambda x: -self.seen[self.next[x[0]][x[1]]])
-            parent, c = blue.pop(0)
+        """Red states are accepted; each blue one (a red one's child) merges with one of them or turns red."""
+        red, depth = {0: 0}, 0
+        while True:
+            blue = [(d + 1, -self.seen[to], r, c) for r, d in red.items() for c, to in self.next[r].items() if to not in red]
+            if not blue:
+                break
+            depth, _, parent, c = min(blue)
             state = self.next[parent][c]
-            if state in red:
-                continue
-            match = next((r for r in red if self.seen[state] < MIN_SEEN or self._alike(r, state)), None)
-            if match is None:
-                red.append(state)
+            fit = [(self._evidence(r, state), -r) for r in red if self._same_tails(r, state) and self._alike(r, state)]
+            best, into = max(fit, default=(-math.inf, 0))
+            if best == -math.inf:
+                red[state] = depth
             else:
-                self.next[parent][c] = match
-                self._fold(match, state)
-            known = set(red)
-            blue = [(r, x) for r in red for x, to in self.next[r].items() if to not in known]
-        self.next, self.count = {r: self.next[r] for r in red}, {r: self.count[r] for r in red}
-
-    def loglik(self, word: str) -> float:
-        """Natural log-likelihood a symbol, with the end; unseen symbols get a small share."""
+                self.next[parent][c] = -into
+                self._fold(-into, state)
+        place = {r: i for i, r in enumerate(red)}
+        self.next = [{c: place[to] for c, to in self.next[r].items()} for r in red]
+        self.count, self.ends, self.seen = ([column[r] for r in red] for column in (self.count, self.ends, self.seen))
+        del self.tails
+
+    def loglik(self, word: list[str]) -> float:
+        """Natural log-likelihood a symbol, with the end. An unseen symbol gets a small share and takes
+        the commonest step; a symbol after the last one, or an end where none was seen, gets none."""
         at, total = 0, 0.0
         for c in word:
-            n, k = self.seen[at], self.count[at][c]
-            total += math.log((k or 0.05) / (n + 0.1))
-            at = self.next[at].get(c, at)
-        n = self.seen[at]
-        total += math.log((self.ends[at] + 0.05) / (n + 0.1))
-        return total / (len(word) + 1)
+            if not self.count[at]:
+                return -math.inf
+            total += math.log((self.count[at].get(c) or 0.05) / (self.seen[at] + 0.1))
+            at = self.next[at][c if c in self.next[at] else max(self.count[at], key=self.count[at].get)]
+        if not self.ends[at]:
+            return -math.inf
+        return (total + math.log(self.ends[at] / self.seen[at])) / (len(word) + 1)
+
+
+_LEARNED: dict[str, tuple[str, Automaton]] = {}
 
 
-@cache
 def grammars() -> dict[str, tuple[str, Automaton]]:
-    return {f: (p := FORMATS[f][0], Automaton([_marked(w, p) for w in labelled_credentials(f)])) for f in FORMATS}
+    """The automata, inferred on first use unless the driver sent them."""
+    if not _LEARNED:
+        _LEARNED.update({f: (p := FORMATS[f][0], Automaton([_marked(w, p) for w in labelled_credentials(f)])) for f in FORMATS})
+    return _LEARNED
 
 
 def _marked(token: str, prefix: str) -> list[str]:
@@ -187,7 +228,7 @@ def format_score(token: str) -> tuple[float, str]:
     best = (-9.0, "")
     for family, (prefix, auto) in grammars().items():
         if token.startswith(prefix) and len(token) > len(prefix):
-            best = max(best, (auto.loglik(_marked(token, prefix)) - base, family))
+            best = max(best, (max(-9.0, auto.loglik(_marked(token, prefix)) - base), family))
     return best
 
 
@@ -237,8 +278,9 @@ class Free:
 
 
 def credential(part: str) -> bool:
-    token = part.strip("=-_/")
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and format_score(token)[0] >= MARGIN
+    if not any(c.isdigit() for c in part) or not any(c.isalpha() for c in part):
+        return False
+    return any(format_score(t)[0] >= MARGIN for t in dict.fromkeys([part.strip("=-_/"), part.rstrip("="), part]))
 
 
 def plain_ends(part: str) -> tuple[int, int]:
@@ -277,8 +319,13 @@ def _rows(blocks):
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_grammar) for every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(docs, ["id", "text"], "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long", _rows)
+    docs, learned = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), dict(grammars())
+
+    def rows(blocks):
+        _LEARNED.update(learned)
+        return _rows(blocks)
+
+    return map_arrow(docs, ["id", "text"], "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long", rows)
 
 
 def redact(text: str | None, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str | None:
@@ -298,9 +345,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema, at = docs.schema, docs.columns.index(text_col)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    arrow, learned = to_arrow_schema(schema), dict(grammars())
 
     def run(batches):
+        _LEARNED.update(learned)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -308,5 +356,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 clean = [redact(t, s) for t, s in zip(texts, scan(texts)[1], strict=True)]
                 columns = [pa.array(clean, f.type) if j == at else part.column(j).cast(f.type) for j, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        settle()
 
     return docs.mapInArrow(run, schema)
