@@ -39,7 +39,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_path(spark, "archive")
     warc.write(table(spark, sf_dir, "pages"), root)
-    return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(spark, root, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by id, so shard k holds the k-th range whatever the cluster. Each task
+Records are range-sorted by id and payload digest, so shard k holds the k-th range; the number of
+shards follows the payloads' bytes, not the cluster (SHARD_BYTES each, up to MOST_SHARDS, beyond
+which shards grow, as tasks stream them). Each task
 writes its range as gzip members, one a record, and rolls to the next file once the compressed
 size passes ``roll_bytes``. Headers are regenerated from the row alone (record ids are name-based
 UUIDs; the date is a parameter) and digests from the payload, so a retried task writes the same
@@ -9,12 +11,16 @@ them, and the driver commits by writing a manifest of those names, sizes and rec
 itself renamed into place. Readers open only what a manifest names, so leftovers of lost tasks
 are never read.
 
-Of records with equal payloads of at least ``min_revisit`` bytes the one of smallest id is a
-response; others are revisits that refer to it.
+Every row is a record. Of records with equal payloads of at least ``min_revisit`` bytes the one of
+smallest id is a response; others are revisits that refer to it.
 
 Defined cases: a null payload is empty; a null URL is ``urn:page:<id>``; control and blank
-characters of a URL are percent-encoded; repeated rows (equal id and payload) are written once;
-rows with a null id are left out, as no record can name them; an empty table gives an empty archive with a manifest; other columns are ignored.
+characters of a URL are percent-encoded; very long payloads are written and read whole, one in
+memory at a time; repeated rows are records of their own, told apart by a number in their record
+id, and all rows of the smallest id and one payload (a tie) are responses; rows with a null id are
+records without a page number, which revisit a response of equal payload with an id, or else are
+responses, whose URL if null is ``urn:page:none``; an empty table gives an empty archive with a
+manifest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("7b1f6a2e-1f5f-4b6e-9a4b-0e4a5d1c9c11")
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 MANIFEST = "MANIFEST.json"
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 100_000
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -44,19 +51,22 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_urn(record_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, str(record_id))}>"
+def record_urn(record_id: int | None, payload_digest: str, copy: int = 0) -> str:
+    """The name of the copy-th record of this id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{record_id}:{payload_digest}:{copy}')}>"
 
 
-def record(record_id: int, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
+def record(record_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, copy: int = 0) -> bytes:
     """One WARC/1.1 record, without compression."""
     http = HTTP.format(len(payload)).encode()
     block = http + payload if refers_to is None else http
-    target = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{record_id}"
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(record_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+    target = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{'none' if record_id is None else record_id}"
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(record_id, payload_digest, copy)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_urn(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"X-Page: {record_id}", f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(block)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_urn(refers_to, payload_digest)}", f"X-Refers-To-Page: {refers_to}"]
+    if record_id is not None:
+        lines.append(f"X-Page: {record_id}")
+    lines += ["Content-Type: application/http; msgtype=response", f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -97,25 +107,28 @@ class _Roller:
 def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0, roll_bytes: int = 64 << 20, shards: int | None = None) -> dict:
     """Write the archive below ``root`` (a URI all executors can open) and return its manifest."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload")).where("id is not null")
-    keyed = rows.select("id", F.unhex(F.sha1("payload")).alias("sha1"), F.length("payload").alias("n"))
-    first = keyed.where(F.col("n") >= min_revisit).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    revisits = staged(keyed.where(F.col("n") >= min_revisit).join(first, "sha1").where("id <> first").select("id", "first").distinct(), "revisits")
-    sorted_rows = rows.join(revisits, "id", "left").repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "first")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
+    keyed = staged(rows.select("id", "sha1", F.length("payload").cast("long").alias("n")), "payload-digests")
+    if shards is None:
+        total = keyed.agg(F.sum("n")).first()[0] or 0
+        shards = min(MOST_SHARDS, max(1, -(-total // SHARD_BYTES)))
+    first = keyed.where((F.col("n") >= min_revisit) & F.col("id").isNotNull()).groupBy("sha1").agg(F.min("id").alias("first"))
+    revisits = staged(keyed.where(F.col("n") >= min_revisit).join(first, "sha1").where("id is null or id <> first").select("id", "sha1", "first").distinct(), "revisits").select(F.col("id").alias("r_id"), F.col("sha1").alias("r_sha1"), "first")
+    found = rows.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left")
+    sorted_rows = found.repartitionByRange(shards, "id", "sha1").sortWithinPartitions("id", "sha1", "url")
     filesystem, base = fs.FileSystem.from_uri(root)
     filesystem.create_dir(base)
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, last = TaskContext.get(), None
+        task, last, copy = TaskContext.get(), None, 0
         out = _Roller(root, task.partitionId(), task.taskAttemptId(), roll_bytes)
         for batch in batches:
             for i, url, payload, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = digest(payload)
-                if (i, got) != last:
-                    last = (i, got)
-                    out.add(member(record(i, url, payload, got, first_id)))
+                last, copy = (i, got), copy + 1 if (i, got) == last else 0
+                out.add(member(record(i, url, payload, got, first_id, copy)))
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out.files, strict=True) if out.files else ([],) * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["name", "bytes", "records", "sha256"])
 
@@ -154,7 +167,7 @@ def _read_files(root: str):
                         kind, payload = h["warc-type"], body.partition(b"\r\n\r\n")[2]
                         full = kind == "response"
                         named = h["warc-payload-digest"].removeprefix("sha1:")
-                        out["page_id"].append(int(h["x-page"]))
+                        out["page_id"].append(int(h["x-page"]) if "x-page" in h else None)
                         out["payload_bytes"].append(len(payload) if full else int(h["x-payload-length"]))
                         out["payload_digest"].append(digest(payload) if full else named)
                         out["record_type"].append(kind)
@@ -169,11 +182,12 @@ def _read_files(root: str):
     return read
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
+def read(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact) of every record
-    of the files that the manifest names."""
+    of the files that the manifest names. If ``strict``, a record whose digests fail is an error."""
     filesystem, base = fs.FileSystem.from_uri(root)
     with filesystem.open_input_stream(f"{base}/{MANIFEST}") as f:
         names = [(x["name"],) for x in json.loads(f.read())["files"]]
     files = spark.createDataFrame(names, "name string").repartition(max(1, len(names)))
-    return map_arrow(files, ["name"], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean", _read_files(root))
+    out = map_arrow(files, ["name"], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean", _read_files(root))
+    return out.withColumn("payload_digest", F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a digest fails: page "), F.col("page_id"))))) if strict else out

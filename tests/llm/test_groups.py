@@ -1,6 +1,7 @@
 """Near duplicates of texts and vectors, search and archives against brute force, and odd tables."""
 
 import gzip
+import pathlib
 import re
 
 import numpy as np
@@ -161,13 +162,14 @@ def test_archive_round_trip(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
     root = new_path(spark, "archive")
     manifest = warc.write(df, root, roll_bytes=200, shards=2)
-    out = {r["page_id"]: r for r in warc.read(spark, root).collect()}
-    assert set(out) == {1, 2, 3, 4, 5} and all(r["intact"] for r in out.values())
-    assert {i: (r["record_type"], r["refers_to"], r["payload_bytes"]) for i, r in out.items()} == {1: ("response", None, len(html.encode())), 3: ("revisit", 1, len(html.encode())), 2: ("response", None, 0), 4: ("revisit", 2, 0), 5: ("response", None, 300_000)}
+    read = warc.read(spark, root, strict=True).collect()
+    out = {r["page_id"]: r for r in read}
+    assert len(read) == len(rows) and set(out) == {1, 2, 3, 4, 5, None} and all(r["intact"] for r in read)
+    assert {i: (r["record_type"], r["refers_to"], r["payload_bytes"]) for i, r in out.items()} == {1: ("response", None, len(html.encode())), 3: ("revisit", 1, len(html.encode())), 2: ("response", None, 0), 4: ("revisit", 2, 0), 5: ("response", None, 300_000), None: ("response", None, 1)}
     assert out[3]["payload_digest"] == warc.digest(html.encode()) and "\n" not in out[3]["url"]
     again = warc.write(df.repartition(3), new_path(spark, "archive"), roll_bytes=200, shards=2)
     assert again == manifest
-    assert len(manifest["files"]) >= 3 and sum(f["records"] for f in manifest["files"]) == 5
+    assert len(manifest["files"]) >= 3 and sum(f["records"] for f in manifest["files"]) == len(rows)
     folder = root.removeprefix("file://")
     assert gzip.open(f"{folder}/{manifest['files'][0]['name']}").read(8) == b"WARC/1.1"
 
@@ -245,3 +247,26 @@ def test_drop_copies_loses_no_text(spark):
     for options in groups.values():
         assert len(options & set(got)) == 1
     assert all(b in got for b in blank)
+
+
+def test_archive_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a", "p"), (1, "b", "q"), (1, "b", "q"), (2, "c", "p"), (2, "d", "q"), (2, "e", "r"), (None, None, "q"), (None, "f", "s"), (None, "f", "s"), (3, "g", "s")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shards in (1, 3):
+        root = new_path(spark, "archive")
+        warc.write(df.repartition(3), root, shards=shards)
+        got = sorted((str(r["page_id"]), r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in warc.read(spark, root, strict=True).collect())
+        first = {h: min(i for i, _, x in rows if x == h and i is not None) for _, _, h in rows}
+        assert got == sorted((str(i), warc.digest(h.encode()), "response" if i == first[h] else "revisit", 0 if i == first[h] else first[h]) for i, _, h in rows)
+        names = re.findall(rb"WARC-Record-ID: (\S+)", b"".join(gzip.open(f).read() for f in sorted(pathlib.Path(root.removeprefix("file://")).glob("*.gz"))))
+        assert len(names) == len(set(names)) == len(rows)
+
+
+def test_corrupt_archives_are_refused(spark):
+    root = new_path(spark, "archive")
+    warc.write(spark.createDataFrame([(1, "a", "payload")], "page_id long, url string, html string"), root)
+    file = next(pathlib.Path(root.removeprefix("file://")).glob("*.gz"))
+    file.write_bytes(gzip.compress(gzip.decompress(file.read_bytes()).replace(b"payload\r\n", b"PAYLOAD\r\n")))
+    assert [r["intact"] for r in warc.read(spark, root).collect()] == [False]
+    with pytest.raises(Exception, match="a digest fails"):
+        warc.read(spark, root, strict=True).collect()
