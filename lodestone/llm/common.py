@@ -103,6 +103,24 @@ def settle() -> None:
         trim(0)
 
 
+class Recent:
+    """A cache of two generations: a full one becomes the old one, whose used entries move on."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.now.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.now) >= self.most:
+            self.old, self.now = self.now, {}
+        self.now[key] = value
+
+
 def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], rows: int = 512) -> DataFrame:
     """Run ``fn`` over blocks of at most ``rows`` rows, given and returned as columns of lists."""
     out = df.sparkSession.createDataFrame([], schema).schema

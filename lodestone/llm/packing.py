@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, staged
+from .common import Recent, settle, staged
 
 CAPACITY, END = 2048, 0
 NEARLY_FULL, FAN_IN = 8, 8
@@ -55,24 +55,6 @@ _SAFE = re.compile(r" (?=\S)")
 _CLOSE = frozenset(".,;:!?")
 
 
-class _Recent:
-    """A cache of two generations: a full one becomes the old one, whose used entries move on."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        got = self.now.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.now) >= self.most:
-            self.old, self.now = self.now, {}
-        self.now[key] = value
-
-
 class Encoder:
     """Ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes."""
 
@@ -87,7 +69,7 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.model, self.parts, self.word_ids = self.tokenizer.model, _Recent(CACHE_PARTS), _Recent(CACHE_WORDS)
+        self.model, self.parts, self.word_ids = self.tokenizer.model, Recent(CACHE_PARTS), Recent(CACHE_WORDS)
 
     def _word(self, word: str) -> bytes:
         got = self.word_ids.get(word)
