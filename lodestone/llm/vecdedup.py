@@ -1,23 +1,25 @@
 """Near-duplicate vectors: hierarchical navigable small-world graphs, one a shard.
 
-Equal vectors form one class. Classes are dealt into shards of bounded size; each shard builds a
-graph of its classes and every class queries every shard. A search descends the layers greedily
-and widens a beam on the lowest one. Widths grow in two ways: a query that finds links is repeated
-until its beam is over twice as wide as what it found, and each shard audits its first width and
-doubles it until the recall passes. The audit holds the links of a sample of queries by brute force,
-without a query's own row, and planted copies of rows turned until their cosine is the threshold, so
-it never is empty, however sparse links are. Where the audit fails and a wider beam would cost more
-than that, or is beyond WIDEST, the shard compares its queries exactly, in blocks. Found pairs are
-verified by their cosine in double precision.
-
-A shard's task joins the links it found by union-find and emits only a spanning forest of them
+Equal vectors form one class. Classes are dealt into shards of bounded size; each shard's graph is
+built once and filed, and every class of its dimension queries it. A search descends the layers
+greedily and widens a beam on the lowest one. Widths grow in two ways: a query that finds links is
+repeated until its beam is over twice as wide as what it found, and each shard audits its first width
+and doubles it until the recall passes. The audit holds planted copies of rows, turned until their
+cosine is the threshold, of which there are always as many as rows, up to PLANTED, and the true links of
+a sample of rows to others, by brute force; a row's own entry never counts. Where the audit fails and a
+wider beam would cost more than that, the shard compares its queries exactly, in blocks: no shard goes
+on without a passed audit. Found pairs are verified by their cosine in double precision.
+
+A query task joins the links it found by union-find and emits only a spanning forest of them
 and each query's number of links, so a large group costs its size, not its square; the forests'
 components are found by ``connected_components``.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
-nothing and are kept, as are null ids (with a null component); vectors of an uncommon dimension
-link only with equal ones; repeated rows of one id count as that many vectors and share the
-result; an empty table gives an empty result; other columns are ignored.
+nothing and are kept, as are null ids (with a null component); vectors of different dimensions don't
+link; vectors are what links, ids only name them: rows of one id with different vectors have the
+links and components of their own; a component's smallest id is no tie; repeated rows give one row
+each and count as that many vectors; very long vectors make smaller shards; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, staged
-from .shards import by_group, dealt, matrix, usable
+from .shards import Layout, ask, build, is_usable, matrix, usable
 
 LINKS, LINKS_BASE, BUILD_WIDTH, FIRST_WIDTH = 8, 16, 24, 12
 BATCH, SEED = 256, 3
-AUDITED, PLANTED, RECALL, WIDEST = 48, 512, 0.99, 256
+AUDITED, PLANTED, RECALL = 256, 512, 0.99
 NEAR = 1e-4
 #: A place in the beam takes a query about as long as this many rows compared exactly.
 PLACE_ROWS = 1000
@@ -110,6 +112,18 @@ class Graph:
             self._add_layer(sizes[l], LINKS if l else LINKS_BASE)
         self._connect()
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What ``loaded`` needs beside the unit rows."""
+        return {"order": self.order, **{f"layer{i}": near.astype(np.int32) for i, near in enumerate(self.layers)}}
+
+    @classmethod
+    def loaded(cls, arrays: dict, unit: np.ndarray) -> Graph:
+        out = cls.__new__(cls)
+        out.order = arrays["order"]
+        out.x = unit[out.order].astype(np.float32)
+        out.layers = [arrays[f"layer{i}"].astype(np.int64) for i in range(sum(k.startswith("layer") for k in arrays))]
+        return out
+
     def _connect(self) -> None:
         """Give the nearest reachable row with a free place a link to each part that can't be reached."""
         near = np.concatenate([self.layers[-1], np.full((len(self.x), 1), -1, np.int64)], axis=1)
@@ -201,21 +215,33 @@ def planted(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return rows, copies / np.linalg.norm(copies, axis=1, keepdims=True)
 
 
-def audited_width(graph: Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, least: float) -> int | None:
-    """The first width whose audit passes, or None where comparing exactly is cheaper or none up to WIDEST does."""
-    audit = np.random.default_rng(SEED).permutation(len(q))[:AUDITED]
-    truth = [t[ids[t] != qids[i]] for i in audit for t in [np.flatnonzero(x @ q[i] >= least)]]
-    rows, copies = planted(x, least)
-    width = FIRST_WIDTH
-    while width <= WIDEST:
-        hits = sum(np.isin(t, f).sum() for t, f in zip(truth, graph.within(q[audit], least, width), strict=True))
-        kept = sum(r in f for r, f in zip(rows, graph.within(copies, least, width), strict=True))
-        if hits >= RECALL * sum(map(len, truth)) and kept >= RECALL * len(rows):
-            return width
-        width *= 2
-        if width * PLACE_ROWS > len(x):
-            break
-    return None
+class Audit:
+    """The links a shard's search must find: of planted copies, and of a sample of rows to other rows."""
+
+    def __init__(self, x: np.ndarray, least: float):
+        self.least, self.n = least, len(x)
+        rows, copies = planted(x, least)
+        sample = np.random.default_rng(SEED).permutation(len(x))[:AUDITED]
+        near = [np.flatnonzero(x @ x[i] >= least) for i in sample]
+        own = [t[t != i] for i, t in zip(sample, near, strict=True)]
+        self.queries = np.concatenate([copies, x[sample]])
+        self.wanted = [np.array([r]) for r in rows] + own
+        self.links = sum(map(len, self.wanted))
+
+    def recall(self, graph: Graph, width: int) -> float:
+        hits = sum(np.isin(w, f).sum() for w, f in zip(self.wanted, graph.within(self.queries, self.least, width), strict=True))
+        return float(hits / self.links)
+
+    def width(self, graph: Graph) -> tuple[int, float]:
+        """The first width that passes and its recall, or 0 and 1 where comparing exactly is cheaper."""
+        width = FIRST_WIDTH
+        while True:
+            found = self.recall(graph, width)
+            if found >= RECALL:
+                return width, found
+            width *= 2
+            if width * PLACE_ROWS > self.n:
+                return 0, 1.0
 
 
 def exact_within(x: np.ndarray, q: np.ndarray, least: float):
@@ -226,18 +252,23 @@ def exact_within(x: np.ndarray, q: np.ndarray, least: float):
         yield from np.split(c, np.searchsorted(r, np.arange(1, len(q[i : i + step]))))
 
 
-def shard_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Rows (id, n) of each query's links in this shard, and rows (a, b) of a spanning forest."""
-    base, asked = group[group["base"]].sort_values("id", ignore_index=True), group[~group["base"]].sort_values("id", ignore_index=True)
-    columns = {"id": "Int64", "n": "Int64", "a": "Int64", "b": "Int64"}
-    if not len(base) or not len(asked):
-        return pd.DataFrame(columns=list(columns)).astype(columns)
-    ids, weight, qids = base["id"].to_numpy(), base["w"].to_numpy(), asked["id"].to_numpy()
-    unit = lambda v: v / np.abs(v).max(axis=1, keepdims=True) / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True)
-    x, q = unit(matrix(base["v"])), unit(matrix(asked["v"]))
-    graph = Graph(ids, x)
-    width = audited_width(graph, ids, x, qids, q, least)
-    links = exact_within(x, q, least) if width is None else graph.within(q, least, width)
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def shard_index(group: pd.DataFrame, least: float) -> dict[str, np.ndarray]:
+    """A shard's rows (row, w, v), graph and audited width."""
+    ids, x = group["row"].to_numpy(), unit_rows(matrix(group["v"]))
+    graph, audit = Graph(ids, x), Audit(x, least)
+    width, recall = audit.width(graph)
+    return {"ids": ids, "w": group["w"].to_numpy(), "x": x, **graph.arrays(), "size": np.array(len(ids)), "width": np.array(width), "audited": np.array(audit.links), "recall": np.array(recall)}
+
+
+def shard_links(arrays: dict, batches, least: float):
+    """Rows (row, n) of each query's links in this shard, and rows (a, b) of a spanning forest."""
+    ids, weight, x, width = arrays["ids"], arrays["w"], arrays["x"], int(arrays["width"])
+    graph = Graph.loaded(arrays, x) if width else None
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -245,32 +276,45 @@ def shard_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
             parent[i] = i = parent[parent[i]]
         return i
 
-    counts, forest = [], []
-    for i, near in enumerate(links):
-        near = near[(x[near] @ q[i] >= least) & (ids[near] != qids[i])] if len(near) else near
-        if len(near):
-            counts.append((qids[i], int(weight[near].sum())))
-            for other in ids[near].tolist():
-                a, b = root(int(qids[i])), root(other)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    forest.append((int(qids[i]), other))
-    return pd.DataFrame([(i, n, None, None) for i, n in counts] + [(None, None, a, b) for a, b in forest], columns=list(columns)).astype(columns)
+    for batch in batches:
+        qids, q = batch["row"].to_numpy(), unit_rows(matrix(batch["v"]))
+        counts, forest = [], []
+        for i, near in enumerate(graph.within(q, least, width) if width else exact_within(x, q, least)):
+            near = near[(x[near] @ q[i] >= least) & (ids[near] != qids[i])] if len(near) else near
+            if len(near):
+                counts.append((int(qids[i]), int(weight[near].sum())))
+                for other in ids[near].tolist():
+                    a, b = root(int(qids[i])), root(other)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        forest.append((int(qids[i]), other))
+        # whole numbers from both kinds of row: a link's ends, or a query and its count
+        yield pd.DataFrame([(True, i, n) for i, n in counts] + [(False, a, b) for a, b in forest], columns=["count", "a", "b"]).astype({"count": "bool", "a": "int64", "b": "int64"})
+
+
+def found_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(count, a, b): a forest's links, or rows and their numbers of links in a shard; and
+    (shard, size, width, audited, recall) of each shard, width 0 where all were compared."""
+    layout, spark = Layout(classes), classes.sparkSession
+    report = "size long, width long, audited long, recall double"
+    if not layout.total:
+        return spark.createDataFrame([], "count boolean, a long, b long"), spark.createDataFrame([], f"shard long, {report}")
+    root, reports = build(classes.select("row", "w", "v"), layout, "row", lambda g: shard_index(g, least), report)
+    found = ask(classes.select("row", "v"), layout, "row", classes.count(), root, lambda arrays, batches: shard_links(arrays, batches, least), "count boolean, a long, b long")
+    return staged(found, "vector-links"), reports
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    rows = staged(usable(vectors, id_col, vec_col), "vectors")
-    classes = staged(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")), "vector-classes")
-    common = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    d, n = (common["d"], common["n"]) if common else (0, 0)
-    same = classes.where(F.size("v") == d)
-    work = dealt(same, same, n, n).join(classes.select("id", "w"), "id")
-    found = staged(by_group(work, lambda g: shard_links(g, least), "id long, n long, a long, b long"), "vector-links")
-    comps = connected_components(found.where("a is not null").select("a", "b"))
-    links = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
-    named = classes.join(links, "id", "left").join(comps, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = rows.join(named, "v").select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    rest = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    lone = rest.join(linked.select(F.col("vec_id")).distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    prints = [F.xxhash64(F.lit(i), "v").alias(f"h{i}") for i in (1, 2)]  # 128 bits of the vector
+    rows = staged(usable(vectors, id_col, vec_col).select("id", "v", *prints, F.monotonically_increasing_id().alias("row")), "vectors")
+    classes = staged(rows.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("v").alias("v")), "vector-classes")
+    found, _ = found_links(classes, least)
+    comps = connected_components(found.where("not count").select("a", "b")).withColumnRenamed("id", "row")
+    links = found.where("count").groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("n"))
+    first = classes.select("row", "id").join(comps, "row").groupBy("component").agg(F.min("id").alias("first"))
+    named = classes.drop("v").join(links, "row", "left").join(comps.join(first, "component"), "row", "left")
+    named = named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("first", "id").alias("component_id"))
+    linked = rows.select("id", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    lone = vectors.where(~is_usable(id_col, vec_col)).select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
     return linked.unionAll(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -1,6 +1,7 @@
 """Near duplicates of texts and vectors, search and archives against brute force, and odd tables."""
 
 import gzip
+import os
 import pathlib
 import re
 
@@ -93,6 +94,10 @@ def test_vectors_against_brute_force(spark):
     assert all(out[i]["kept"] and out[i]["n_links"] == 0 for i in range(700, 706))
 
 
+def shard_frame(x, start=0):
+    return pd.DataFrame({"row": start + np.arange(len(x)), "w": 1, "v": list(x)})
+
+
 def test_sparse_links_of_vectors_are_audited():
     r = np.random.default_rng(9)
     x = r.normal(size=(6000, 64))
@@ -100,10 +105,19 @@ def test_sparse_links_of_vectors_are_audited():
     rows, q = vecdedup.planted(x, 0.95)
     assert len(rows) == vecdedup.PLANTED and np.allclose(np.einsum("bd,bd->b", x[rows], q), 0.95, atol=1e-5)
     rows, q, lone = rows[:200], q[:200], r.normal(size=(10_000, 64))
-    ids = 10_000_000 + np.arange(10_200)
-    frame = pd.DataFrame({"base": [True] * 6000 + [False] * 10_200, "id": np.concatenate([np.arange(6000), ids]), "w": 1, "v": [*x, *lone, *q]})
-    out = vecdedup.shard_links(frame, 0.95)
-    assert (out["id"] >= 10_010_000).sum() >= 0.99 * len(rows)
+    index = vecdedup.shard_index(shard_frame(x), 0.95)
+    assert index["audited"] >= vecdedup.PLANTED and index["recall"] >= vecdedup.RECALL
+    out = pd.concat(vecdedup.shard_links(index, [shard_frame(np.concatenate([lone, q]), 10_000_000)], 0.95))
+    assert (out["count"] & (out["a"] >= 10_010_000)).sum() >= 0.99 * len(rows)
+
+
+def test_audits_leave_out_a_rows_own_entry():
+    r = np.random.default_rng(11)
+    x = vecdedup.unit_rows(r.normal(size=(300, 16)))
+    x[7] = vecdedup.unit_rows((x[3] + 0.01 * r.normal(size=16))[None])[0]
+    audit = vecdedup.Audit(x, 0.95)
+    real = sum(len(w) for w in audit.wanted[300:])
+    assert len(audit.queries) == 300 + min(300, vecdedup.AUDITED) and real == 2 and audit.links == 302
 
 
 def test_failed_audits_compare_exactly(monkeypatch):
@@ -112,9 +126,59 @@ def test_failed_audits_compare_exactly(monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     _, q = vecdedup.planted(x, 0.95)
     monkeypatch.setattr(vecdedup.Graph, "within", lambda self, q, least, width: [np.empty(0, np.int64)] * len(q))
-    frame = pd.DataFrame({"base": [True] * 500 + [False] * len(q), "id": np.arange(500 + len(q)), "w": 1, "v": [*x, *q]})
-    out = vecdedup.shard_links(frame, 0.95)
-    assert out["n"].sum() == (q @ x.T >= 0.95).sum() >= len(q)
+    index = vecdedup.shard_index(shard_frame(x), 0.95)
+    assert index["width"] == 0
+    out = pd.concat(vecdedup.shard_links(index, [shard_frame(q, 500)], 0.95))
+    assert out["b"][out["count"]].sum() == (q @ x.T >= 0.95).sum() >= len(q)
+
+
+def test_filed_graphs_answer_alike(monkeypatch):
+    monkeypatch.setattr(vecdedup, "PLACE_ROWS", 1)
+    r = np.random.default_rng(12)
+    x = vecdedup.unit_rows(r.normal(size=(900, 12)))
+    index = vecdedup.shard_index(shard_frame(x), 0.95)
+    assert index["width"] > 0
+    graph, q = vecdedup.Graph(np.arange(900), x), vecdedup.planted(x, 0.95)[1]
+    again = vecdedup.Graph.loaded(index, x)
+    for a, b in zip(graph.within(q, 0.95, 24), again.within(q, 0.95, 24), strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_vectors_of_all_dimensions_and_repeated_ids(spark):
+    rows = [(i, [1.0, 0.01 * i, 0.0]) for i in range(5)] + [(8, [1.0, 0.01]), (9, [1.0, 0.02]), (7, [0.0, 1.0]), (5, None), (5, [0.0, 1.0, 0.0]), (6, [0.0, 1.0, 0.01]), (6, [0.0, 0.0, 1.0]), (6, [0.0, 0.0, 1.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for layout in (df.repartition(5), df.coalesce(1), df.orderBy("vec_id")):
+        out = sorted((-1 if r["vec_id"] is None else r["vec_id"], r["n_links"], -1 if r["component_id"] is None else r["component_id"]) for r in vecdedup.near_duplicates(layout).collect())
+        assert out == sorted([(i, 4, 0) for i in range(5)] + [(8, 1, 8), (9, 1, 8), (7, 0, 7), (5, 0, 5), (5, 1, 5), (6, 1, 5), (6, 1, 6), (6, 1, 6), (-1, 0, -1)])
+
+
+def test_search_in_all_dimensions(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r.normal(size=3 if i % 3 else 5)]) for i in range(40)] + [(100, [1.0]), (None, [1.0, 2.0, 3.0])]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    for q in (0, 20, 100):
+        mine = dict(rows)[q]
+        best = sorted((-float(np.dot(mine, v)), i) for i, v in rows if i not in (q, None) and len(v) == len(mine))[:20]
+        got = sorted((x["rank"], x["vec_id"]) for x in out if x["query_id"] == q)
+        assert got == [(n + 1, i) for n, (_, i) in enumerate(best)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_search_reranks_a_small_share(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found, reports = ann.candidates(df, lambda i: i % 20 == 0)
+    got = found.toPandas()
+    pdf = df.toPandas()
+    ids, x = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"]).astype(float)
+    hits = total = 0
+    for q, part in got.groupby("query_id"):
+        s = x @ x[ids == q][0]
+        best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+        mine = part.sort_values(["score", "vec_id"], ascending=[False, True])["vec_id"][:20]
+        hits, total = hits + len(set(mine) & set(best)), total + 20
+    share = got.drop_duplicates(["query_id", "ranked"]).groupby("query_id")["ranked"].sum().mean() / len(ids)
+    print("recall", hits / total, "share", share, reports.collect())
+    assert hits >= 0.9 * total and share <= 0.15
 
 
 def test_search_against_brute_force(spark):
