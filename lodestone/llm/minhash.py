@@ -36,7 +36,7 @@ from .common import connected_components, is_empty, map_arrow, settle, staged
 WORDS, CELLS, BANDS, ROWS = 5, 1 << 20, 28, 6
 PERCENT = 85
 SKETCH_DIFFER, SKETCH_LONGS = 49, -(-BANDS * ROWS // 16)
-CACHE_WORDS, CHUNK = 400_000, 1 << 17
+CACHE_WORDS, CHUNK, BLOCK = 400_000, 1 << 17, 512
 
 _rng = np.random.default_rng(20_231_104)
 _MULT = _rng.integers(1, 1 << 62, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -236,7 +236,8 @@ def _across(members: DataFrame, comps: DataFrame, marks: DataFrame, sets: DataFr
     Members meet under their bucket's hub. One side holds only members outside the hub's component,
     so a large group of near copies, which joins its hub, isn't paired with itself. A member carries
     only what its set differs from the hub's in, from which two members' exact intersection follows:
-    the join itself confirms links and puts out nothing else.
+    the join itself confirms links and puts out nothing else. A hub's strays are dealt over blocks of
+    about BLOCK, each of which meets the hub's members by itself, so no hub is one task's.
     """
     of = comps.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     hub_of = comps.select(F.col("id").alias("hub"), F.col("component").alias("hc"))
@@ -245,13 +246,15 @@ def _across(members: DataFrame, comps: DataFrame, marks: DataFrame, sets: DataFr
     m = staged(m.join(open_buckets, "h", "left_semi").select("rep", "n", "hub", "c", "hc").distinct().join(marks, "rep"), "open-members")
     apart = F.concat(F.array_except("s", "hub_s"), F.array_except("hub_s", "s"))
     m = staged(_with_sets(m, sets).select("rep", "n", "hub", "c", "hc", "sketch", apart.alias("d")), "differences")
-    x = m.where("c <> hc").select("hub", "hc", *(F.col(k).alias(f"{k}1") for k in ("rep", "n", "c", "sketch", "d")))
-    y = m.select("hub", *(F.col(k).alias(f"{k}2") for k in ("rep", "n", "c", "sketch", "d")))
+    blocks = m.where("c <> hc").groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    m = m.join(blocks, "hub")
+    x = m.where("c <> hc").select("hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "hc", *(F.col(k).alias(f"{k}1") for k in ("rep", "n", "c", "sketch", "d")))
+    y = m.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(k).alias(f"{k}2") for k in ("rep", "n", "c", "sketch", "d")))
     n1, n2 = F.col("n1"), F.col("n2")
     common = (n1 + n2 - F.size("d1") - F.size("d2") + 2 * F.size(F.array_intersect("d1", "d2"))) / 2
     once = (F.col("c2") == F.col("hc")) | (F.col("rep1") < F.col("rep2"))
     wanted = (F.col("c1") != F.col("c2")) & once & _sizes_allow(n1, n2) & (_differing(F.col("sketch1"), F.col("sketch2")) <= SKETCH_DIFFER) & _linked(common, n1, n2)
-    return x.join(y, "hub").where(wanted).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+    return x.join(y, ["hub", "block"]).where(wanted).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def _differing(a, b):

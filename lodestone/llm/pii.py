@@ -7,8 +7,10 @@ check digits, national and account numbers by their shape) after a cue. Phone nu
 from plus signs; dotted addresses and card numbers, whose only anchors are digits, are read by
 possessive patterns behind a linear-time gate.
 
-Defined cases: null and empty texts have no spans; spans are code points with exclusive ends;
-repeated rows give one row each; other columns are ignored.
+Defined cases: null and empty texts have no spans; very long texts are read whole, in linear time;
+spans are code points with exclusive ends; spans of equal start (a tie) come in the order of KINDS;
+repeated rows and null ids give one row each; an empty table gives an empty result; other columns,
+also of the names put out, are ignored.
 """
 
 from __future__ import annotations

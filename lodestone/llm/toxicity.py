@@ -7,13 +7,16 @@ every scaled feature. Features are kept if enough training rows hold them and th
 large and several standard errors from none, so noise of long texts doesn't add up. The kept
 n-grams form one Aho-Corasick automaton, which reads each text once.
 
-Training reads at most PER_CLASS rows of each label, those of least hashed id: that bound is
-the only sample; scoring reads every whole text.
-
-Defined cases: null or empty texts have no features and get the score of the intercept; without
-rows of both labels every score is the share of label 1 (0 without labels); labels other than
-0 and 1 are ignored; of repeated label rows the largest counts; rows with a null id are scored
-and held_out is null there; other columns are ignored.
+Training reads at most PER_CLASS rows of each label, those of least hashed id, and TRAIN_CHARS
+characters of each: these bounds are the only sample, and apply before texts reach the driver;
+scoring reads every whole text.
+
+Defined cases: null or empty texts have no features and get the score of the intercept; very long
+texts are scored whole; without rows of both labels every score is the share of label 1 (0 without
+labels); labels other than 0 and 1 are ignored; of repeated label rows the largest counts, of
+repeated documents the first text in their order; a score at the threshold (a tie) is rejected;
+rows with a null id are scored and held_out is null there; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, map_arrow
 
-PER_CLASS = 1500
+PER_CLASS, TRAIN_CHARS = 1500, 20_000
 SIZES = (3, 4, 5, 6)
 MIN_ROWS, MIN_RATIO, MIN_SIGMA, SMOOTH, L2, STEPS = 4, 1.5, 1.5, 1.0, 0.02, 300
 REJECT = 0.7
@@ -127,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     least = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS)
     chosen = spark.createDataFrame([tuple(r) for r in least(0).collect() + least(1).collect()], "id long, y int")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, TRAIN_CHARS).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["id"])
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
 

@@ -334,3 +334,49 @@ def test_corrupt_archives_are_refused(spark):
     assert [r["intact"] for r in warc.read(spark, root).collect()] == [False]
     with pytest.raises(Exception, match="a digest fails"):
         warc.read(spark, root, strict=True).collect()
+
+
+def test_one_template_against_brute_force(spark, monkeypatch):
+    """Pages of one template (Jaccard 0.6 to 0.85) share buckets with few links; no link is lost, nor any made up."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    template, pages = [f"t{i}" for i in range(400)], []
+    for g in range(260):
+        own = [f"g{g}x{i}" for i in range(int(r.integers(40, 110)))]
+        for k in range(int(r.integers(1, 4))):
+            words = template + own
+            for at in r.integers(400, len(words), int(r.integers(0, 12))):
+                words = [*words[:at], f"n{g}-{k}-{at}", *words[at + 1 :]]
+            pages.append(" ".join(words))
+    order = r.permutation(len(pages)).tolist()
+    rows = [(i, pages[j]) for i, j in enumerate(order)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    index, sizes = {}, []
+    for i, t in rows:
+        s = sets_of(t)
+        sizes.append(len(s))
+        for g in s:
+            index.setdefault(g, len(index))
+    has = np.zeros((len(rows), len(index)), np.float32)
+    for i, t in rows:
+        has[i, [index[g] for g in sets_of(t)]] = 1
+    both, n = (has @ has.T).round().astype(int), np.array(sizes)
+    linked = np.argwhere(np.triu(100 * both >= 85 * (n[:, None] + n[None, :] - both), 1))
+    alike = both / (n[:, None] + n[None, :] - both)
+    assert ((alike > 0.6) & (alike < 0.85)).mean() > 0.5 and len(linked) > 100
+    assert got == components(range(len(rows)), linked.tolist())
+
+
+def test_no_pair_at_the_threshold_is_dropped_by_its_sketch():
+    """Pairs just at 0.85: the signature's sketches never differ by more than SKETCH_DIFFER allows."""
+    r = np.random.default_rng(8)
+    for n in (40, 300):
+        most = 0
+        for _ in range(400):
+            common = -(-85 * 2 * n // 185)
+            s = r.integers(1, 1 << 63, 2 * n - common, dtype=np.uint64)
+            a, b = np.unique(s[:n]), np.unique(s[n - common :])
+            marks = minhash.sketches(minhash.signatures([a, b])).view(np.uint64)
+            x = marks[0] ^ marks[1]
+            most = max(most, sum(sum((int(v) >> (4 * i)) & 15 != 0 for i in range(16)) for v in x))
+        assert most <= minhash.SKETCH_DIFFER
