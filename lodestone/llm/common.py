@@ -103,22 +103,37 @@ def settle() -> None:
         trim(0)
 
 
-class Recent:
-    """A cache of two generations: a full one becomes the old one, whose used entries move on."""
+class Recent(dict):
+    """A cache of two generations: a full one becomes the old one, whose used entries move on.
 
-    def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
+    Missing values of strings are made by ``make``; those of over LONGEST letters aren't kept, so
+    the number of entries bounds the memory.
+    """
+
+    LONGEST = 64
 
-    def get(self, key):
-        got = self.now.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
+    def __init__(self, most: int, make: Callable):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= self.LONGEST:
             self.put(key, got)
         return got
 
-    def put(self, key, value) -> None:
-        if len(self.now) >= self.most:
-            self.old, self.now = self.now, {}
-        self.now[key] = value
+    def put(self, key: str, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def find(self, key: str):
+        """The value if it is known."""
+        got = self.get(key)
+        return self.old.get(key) if got is None else got
 
 
 def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], rows: int = 512) -> DataFrame:

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import zlib
 from array import array
@@ -48,11 +49,12 @@ CAPACITY, END = 2048, 0
 NEARLY_FULL, FAN_IN = 8, 8
 #: Pieces of a leaf, and bins of a block of ranges.
 LEAF_ROWS, BLOCK = 400_000, 4096
-CACHE_PARTS, CACHE_WORDS = 150_000, 150_000
+CACHE_PARTS, CACHE_WORDS = 300_000, 100_000
 #: White space next to a split, which the plain split would cut differently.
 _TIGHT = re.compile(r"\s \s|\s \Z")
 _SAFE = re.compile(r" (?=\S)")
-_CLOSE = frozenset(".,;:!?")
+#: From here on classes of letters depend on the Unicode version.
+UNSURE = "\u0530"
 
 
 class Encoder:
@@ -69,52 +71,44 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.model, self.parts, self.word_ids = self.tokenizer.model, Recent(CACHE_PARTS), Recent(CACHE_WORDS)
+        self.tokenize, self.parts, self.word_ids = self.tokenizer.model.tokenize, Recent(CACHE_PARTS, self._part), Recent(CACHE_WORDS, self._ids)
+        self.close, self.line = {c: self._ids(c) for c in ".,;:!?"}, self._ids("\n")
 
-    def _word(self, word: str) -> bytes:
-        got = self.word_ids.get(word)
-        if got is None:
-            shown = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            got = _bytes([t.id for t in self.model.tokenize(shown)])
-            self.word_ids.put(word, got)
-        return got
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word that the pre-tokenizer leaves whole."""
+        shown = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return _bytes([t.id for t in self.tokenize(shown)])
 
     def _text(self, text: str) -> bytes:
-        if not text.isascii() and max(text) >= "԰":  # letters whose classes depend on the Unicode version
+        if not text.isascii() and max(text) >= UNSURE:
             return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join([self._word(w) for w in self.words.findall(text)])
+        return b"".join(map(self.word_ids.__getitem__, self.words.findall(text)))
 
     def _part(self, part: str) -> bytes:
-        """Ids of a space and ``part``."""
-        got = self.parts.get(part)
-        if got is None:
-            if part.isascii() and part.isalpha():
-                got = self._word(f" {part}")
-            elif part.isascii() and part[:-1].isalpha() and part[-1] in _CLOSE:
-                got = self._word(f" {part[:-1]}") + self._word(part[-1])
-            else:
-                got = self._text(f" {part}")
-            if len(part) <= 64:
-                self.parts.put(part, got)
-        return got
+        """Ids of a space and ``part``: one word, a word and a mark, two lines' ends, or whatever the pattern finds."""
+        if "\n" in part:
+            head, _, tail = part.partition("\n")
+            if head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return self.parts[head] + self.line + (self.word_ids[tail] if tail.isascii() and tail.isalpha() else self._text(tail))
+        plain = part.isascii()
+        if part and (plain or max(part) < UNSURE):
+            if part.isalpha():
+                return _bytes([t.id for t in self.tokenize(f"\u0120{part}")]) if plain else self._ids(f" {part}")
+            if part[-1] in self.close and part[:-1].isalpha():
+                return self.parts[part[:-1]] + self.close[part[-1]]
+        return self._text(f" {part}")
 
     def __call__(self, text: str | None) -> bytes:
         """The document's ids, ended by END."""
         if not text:
             return _bytes([END])
         first, *rest = _SAFE.split(text) if _TIGHT.search(text) else text.split(" ")
-        out = list(map(self.parts.now.get, rest))
-        if None in out:
-            out = [self._part(p) if got is None else got for p, got in zip(rest, out, strict=True)]
-        return b"".join([self._text(first) if first else b"", *out, _bytes([END])])
+        return b"".join([self._text(first) if first else b"", *map(self.parts.__getitem__, rest), _bytes([END])])
 
 
 def _bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
 
 @cache

@@ -77,7 +77,7 @@ class Model:
 
     def forget(self) -> None:
         """Empty the caches, which hold what one task met."""
-        self.known, self.pairs = Recent(CACHE_WORDS), {}
+        self.known, self.pairs = Recent(CACHE_WORDS, None), {}
 
     def merge(self, word: str) -> list[str]:
         """Plain BPE: merge the neighbours of highest score, leftmost first, until none is a piece."""
@@ -180,7 +180,7 @@ class Model:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The words' ids; those that aren't cached are encoded in the order of their trie."""
-        got = {w: self.known.get(w) for w in words}
+        got = {w: self.known.find(w) for w in words}
         extend = self._extend_bpe if self.bpe else self._extend_unigram
         states, last = [(0, "", 0.0)], ""
         for word in sorted(w for w, ids in got.items() if ids is None):
@@ -198,7 +198,7 @@ class Model:
                     pieces.append((piece, word[i:j]))
                     j = i
                 got[word] = self._ids(pieces[::-1])
-            if len(word) <= 64:
+            if len(word) <= Recent.LONGEST:
                 self.known.put(word, got[word])
         return got
 
