@@ -64,14 +64,23 @@ def late_penalty(step: Column, most_steps: int) -> Column:
 
 
 def floored_totals(deltas: DataFrame, key: str, order: str, delta: str) -> DataFrame:
-    """(key, total): each key's deltas added in order, never falling below LEAST_SCORE on the way."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(delta).cast("double").alias("d"))))
-    return deltas.groupBy(key).agg(F.aggregate(steps, F.lit(LEAST_SCORE), lambda a, s: F.greatest(F.lit(LEAST_SCORE), a + s["d"])).alias("total"))
+    """(key, total): each key's deltas added in order, never falling below LEAST_SCORE on the way.
+
+    A stretch of such a walk is known by its sum and the lowest point of its free sum, and stretches
+    compose; so the table is cut into ranges of (key, order), each range is one stretch a key, and a
+    key's few stretches are put together. A key with many steps spans many ranges.
+    """
+    cut = deltas.select(key, F.col(order).alias("o"), F.col(delta).cast("double").alias("d")).repartitionByRange(key, "o").withColumn("part", F.spark_partition_id())
+    free = cut.withColumn("free", F.sum("d").over(Window.partitionBy(key, "part").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = free.groupBy(key, "part").agg(F.sum("d").alias("sum"), F.min("free").alias("low"))
+    listed = F.array_sort(F.collect_list(F.struct("part", "sum", "low")))
+    floor = F.lit(LEAST_SCORE)
+    return stretches.groupBy(key).agg(F.aggregate(listed, floor, lambda a, s: a + s["sum"] + F.greatest(F.lit(0.0), floor - (a + s["low"]))).alias("total"))
 
 
 def floored_totals_closed(deltas: DataFrame, key: str, order: str, delta: str) -> DataFrame:
-    """The same by windows alone, for keys too long for one array: a walk that is held at a floor
-    equals its free sum less the lowest point that the free sum reached below the floor."""
+    """The same by one window a key, for keys of few steps: a walk that is held at a floor equals its
+    free sum less the lowest point that the free sum reached below the floor."""
     w = Window.partitionBy(key).orderBy(order)
     free = deltas.select(key, F.col(order).alias("o"), (F.sum(F.col(delta).cast("double")).over(w) + LEAST_SCORE).alias("free"))
     ends = free.groupBy(key).agg(F.max_by("free", "o").alias("last"), F.min("free").alias("lowest"))
@@ -128,13 +137,18 @@ def sanitize_keys(actions: DataFrame) -> DataFrame:
 
 @dataclass
 class Session:
-    """One session's state; ``act`` plays an action."""
+    """One session's state; ``act`` plays an action. ``truth`` may hold only the issues on the rows that
+    the session touches, if ``truths`` and ``fixable`` count all."""
 
     truth: list[dict]
     rows: int
     most_steps: int
+    truths: int | None = None
+    fixable: int | None = None
 
     def __post_init__(self):
+        if self.truths is None:
+            self.truths, self.fixable = len(self.truth), sum(t.get("expected") is not None for t in self.truth)
         self.found: list[dict] = []
         self.fixed: set[tuple[int, str]] = set()
         self.seen: set[int] = set()
@@ -204,7 +218,7 @@ class Session:
         return credit + JUSTIFIED * bool(a.get("justification")), "correct" if credit == FIX else "partial"
 
     def score(self) -> float:
-        truths, fixable = len(self.truth), sum(t.get("expected") is not None for t in self.truth)
+        truths, fixable = self.truths, self.fixable
         if not truths:
             return LEAST_SCORE
         rate = FALSE_POSITIVE_RATE * (2 if len(self.found) + self.false_positives > 2 * truths else 1)
@@ -229,12 +243,24 @@ class Session:
 
 
 def replay(actions: DataFrame, truth: DataFrame, rows: int, most_steps: int) -> DataFrame:
-    """Every step of every session (EPISODE columns). A session is at most ``most_steps`` actions, so
-    its fold is one small group; the truth is that of one table and is read by every task."""
-    known = [r.asDict() for r in truth.orderBy("ord").select(F.col(ROW).alias("row"), "column", "type", "expected").collect()]
+    """Every step of every session (EPISODE columns).
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        s, out = Session(known, rows, most_steps), []
+    A session ends after ``most_steps`` actions, so only its first ones are read and its fold is one
+    small group. It meets the issues on the rows that it touches alone, which join it by row; their
+    total number and that of the fixable ones are two counts.
+    """
+    first = actions.withColumn("_n", F.row_number().over(Window.partitionBy("episode").orderBy("step"))).where(F.col("_n") <= most_steps).drop("_n")
+    asked = F.col("rows") if "rows" in actions.columns else F.lit(None).cast("array<bigint>")
+    start = F.when((F.col("action_type") == "inspect") & asked.isNull(), F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))
+    touched = first.select("episode", F.explode(F.filter(F.concat(F.coalesce(asked.cast("array<bigint>"), start, F.array().cast("array<bigint>")), F.array(F.col(ROW).cast("bigint"))), lambda r: r.isNotNull())).alias(ROW)).distinct()
+    known = truth.select(ROW, F.col("column").alias("truth_column"), F.col("type").alias("truth_type"), "expected", "ord")
+    near = touched.withColumnRenamed("episode", "session").join(known, ROW)
+    total = truth.agg(F.count("*").alias("n"), F.count("expected").alias("fixable")).first()
+    truths, fixable = total["n"], total["fixable"]
+
+    def fold(group: pd.DataFrame, issues: pd.DataFrame) -> pd.DataFrame:
+        listed = [{"row": r[ROW], "column": r["truth_column"], "type": r["truth_type"], "expected": r["expected"]} for r in issues.sort_values("ord").to_dict("records")]
+        s, out = Session(listed, rows, most_steps, truths, fixable), []
         for a in group.sort_values("step").to_dict("records"):
             if s.done:
                 break
@@ -244,7 +270,7 @@ def replay(actions: DataFrame, truth: DataFrame, rows: int, most_steps: int) ->
             out.append((a["episode"], a["step"], result, delta, total, len(s.found), len(s.fixed), s.false_positives, s.done))
         return pd.DataFrame(out, columns=[c.split()[0] for c in EPISODE.split(", ")])
 
-    return actions.groupBy("episode").applyInPandas(fold, EPISODE)
+    return first.groupBy("episode").cogroup(near.groupBy("session")).applyInPandas(fold, EPISODE)
 
 
 def informed_actions(truth: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Detectors: type mismatches, power-of-ten shifts, functional-dependency violations.
 
-One wide aggregate gives every column's statistics (columns, not rows, reach the driver); a second
-narrow pass emits the flagged cells of the columns that qualify.
+One wide aggregate counts every column's classes (columns, not rows, reach the driver); medians are
+narrowed down for the columns with enough numbers alone; a last pass emits the flagged cells of the
+columns that qualify.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import Schema
+from ..functions.stats import exact_medians
 from ..functions.text import classify, general, half_even, is_blank, quoted, strip, to_double
 
 ROW = "_row"
@@ -38,18 +40,26 @@ def severity_rank(c: Column) -> Column:
     return F.when(c == "UNSAFE", 0).when(c == "REVIEW", 1).otherwise(2)
 
 
-def column_statistics(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, dict]:
-    """Per column: counts of the value classes, numbers parsed, and their median (None with a NaN)."""
+def column_statistics(df: DataFrame, columns: list[str], approximate: bool = False, medians: bool = True) -> dict[str, dict]:
+    """Per column: counts of the value classes, numbers parsed, and with ``medians`` the median of
+    columns of at least LEAST_NUMERIC numbers (None with a NaN)."""
     if not columns:
         return {}
+    value = {c: to_double(F.col(f"`{c}`")) for c in columns}
     exprs = []
     for i, c in enumerate(columns):
-        kind, value = F.when(~is_blank(F.col(f"`{c}`")), classify(F.col(f"`{c}`"))), to_double(F.col(f"`{c}`"))
+        kind = F.when(~is_blank(F.col(f"`{c}`")), classify(F.col(f"`{c}`")))
         exprs += [F.count_if(kind == k).alias(f"{k}{i}") for k in CLASSES]
-        middle = F.percentile_approx(value, 0.5, 10_000) if approximate else F.median(value)
-        exprs += [F.count(value).alias(f"n{i}"), F.count_if(F.isnan(value)).alias(f"nan{i}"), middle.alias(f"median{i}")]
+        if medians:
+            exprs += [F.count(value[c]).alias(f"n{i}"), F.count_if(F.isnan(value[c])).alias(f"nan{i}")]
+            exprs += [F.percentile_approx(value[c], 0.5, 10_000).alias(f"median{i}")] * approximate
     got = df.agg(*exprs).first()
-    return {c: {k: got[f"{k}{i}"] for k in CLASSES} | {"n": got[f"n{i}"], "median": None if got[f"nan{i}"] else got[f"median{i}"]} for i, c in enumerate(columns)}
+    out = {c: {k: got[f"{k}{i}"] for k in CLASSES} for i, c in enumerate(columns)}
+    if medians:
+        numeric = {c: value[c] for i, c in enumerate(columns) if got[f"n{i}"] >= LEAST_NUMERIC and not got[f"nan{i}"]}
+        middle = {c: got[f"median{columns.index(c)}"] for c in numeric} if approximate else exact_medians(df, numeric)
+        out = {c: out[c] | {"n": got[f"n{i}"], "median": middle.get(c)} for i, c in enumerate(columns)}
+    return out
 
 
 def _emit(df: DataFrame, structs: list[Column]) -> DataFrame:
@@ -61,7 +71,7 @@ def _emit(df: DataFrame, structs: list[Column]) -> DataFrame:
 
 def detect_type_mismatch(df: DataFrame, schema: Schema | None = None, stats: dict | None = None) -> DataFrame:
     """Non-blank cells whose class differs from the one that at least DOMINANCE of the column has."""
-    stats, structs = stats or column_statistics(df, cells(df)), []
+    stats, structs = stats or column_statistics(df, cells(df), medians=False), []
     for at, c in enumerate(cells(df)):
         counts = [stats[c][k] for k in CLASSES]
         total, most = sum(counts), max(counts)
@@ -116,28 +126,38 @@ def detect_decimal_shift(df: DataFrame, schema: Schema | None = None, stats: dic
     return found.select(ROW, "column", F.lit("decimal_shift").alias("issue_type"), F.lit("REVIEW").alias("severity"), confidence.alias("confidence"), general(expected).alias("expected"), strip(F.col("raw")).alias("actual"), reason.alias("reason"), "raw", F.lit(1).alias("det_ord"), "col_ord")
 
 
-def dependency_groups(df: DataFrame, determinant: tuple[str, ...], dependent: str) -> DataFrame:
-    """Determinant groups with several dependents: columns of the determinant, ``values`` in first-seen
-    order, and ``first``, the group's first row. Nulls are no determinant and no dependent."""
+def dependency_pairs(df: DataFrame, determinant: tuple[str, ...], dependent: str) -> DataFrame:
+    """(k0.., d, at, n): each determinant's dependents with their first row and number of rows. Nulls
+    are no determinant."""
     keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(determinant)]
     names = [f"k{i}" for i in range(len(determinant))]
     known = df.select(ROW, *keys, F.col(f"`{dependent}`").alias("d")).dropna(subset=names)
-    pairs = known.groupBy(*names, "d").agg(F.min(ROW).alias("at"), F.count("*").alias("n"))
-    groups = pairs.groupBy(*names).agg(F.min("at").alias("first"), F.count("d").alias("distinct"), F.array_sort(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("at", "d", "n")))).alias("values"))
+    return known.groupBy(*names, "d").agg(F.min(ROW).alias("at"), F.count("*").alias("n"))
+
+
+def dependency_groups(df: DataFrame, determinant: tuple[str, ...], dependent: str, listed: bool = True) -> DataFrame:
+    """Determinant groups with several dependents: columns of the determinant, ``first``, the group's
+    first row, ``distinct`` and, if ``listed``, ``values`` in first-seen order. Nulls are no determinant
+    and no dependent."""
+    names = [f"k{i}" for i in range(len(determinant))]
+    more = [F.array_sort(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("at", "d", "n")))).alias("values")] * listed
+    groups = dependency_pairs(df, determinant, dependent).groupBy(*names).agg(F.min("at").alias("first"), F.count("d").alias("distinct"), *more)
     return groups.where("distinct > 1")
 
 
-def detect_fd_violation(df: DataFrame, schema: Schema | None = None, stats: dict | None = None) -> DataFrame:
-    """Every row of a determinant group that holds several dependents."""
+def detect_fd_violation(df: DataFrame, schema: Schema | None = None, stats: dict | None = None, listed: bool = True) -> DataFrame:
+    """Every row of a determinant group that holds several dependents. The reason lists the group's
+    values; with ``listed`` off it gives their number alone, so that a determinant of very many rows
+    and values costs neither a list nor a copy of it a row, and ``dependency_report`` has the values."""
     out = []
     for at, fd in enumerate(schema.dependencies if schema else ()):
         if not {*fd.determinant, fd.dependent} <= set(df.columns):
             continue
         names = [f"k{i}" for i in range(len(fd.determinant))]
-        groups = dependency_groups(df, fd.determinant, fd.dependent)
+        groups = dependency_groups(df, fd.determinant, fd.dependent, listed)
         desc = F.concat_ws(", ", *(F.concat(F.lit(f"{c}='"), F.col(n), F.lit("'")) for c, n in zip(fd.determinant, names, strict=True)))
-        listed = F.array_join(F.transform("values", lambda v: quoted(v["d"])), ", ")
-        reason = F.concat(F.lit(f"Functional dependency {fd.determinant} -> {fd.dependent} violated: "), desc, F.lit(" maps to multiple values: {"), listed, F.lit("}"))
+        said = F.concat(F.lit(" maps to multiple values: {"), F.array_join(F.transform("values", lambda v: quoted(v["d"])), ", "), F.lit("}")) if listed else F.concat(F.lit(" maps to "), F.col("distinct"), F.lit(" values"))
+        reason = F.concat(F.lit(f"Functional dependency {fd.determinant} -> {fd.dependent} violated: "), desc, said)
         rows = df.select(ROW, F.col(f"`{fd.dependent}`").alias("raw"), *(F.col(f"`{c}`").alias(n) for c, n in zip(fd.determinant, names, strict=True)))
         hit = rows.join(groups.select(*names, reason.alias("reason"), "first"), names)
         out.append(hit.select(ROW, F.lit(fd.dependent).alias("column"), F.lit("fd_violation").alias("issue_type"), F.lit("UNSAFE").alias("severity"), F.lit(0.95).alias("confidence"), F.lit(None).cast("string").alias("expected"), F.coalesce("raw", F.lit("None")).alias("actual"), "reason", "raw", F.lit(2).alias("det_ord"), F.lit(at).alias("col_ord"), "first"))
@@ -146,6 +166,14 @@ def detect_fd_violation(df: DataFrame, schema: Schema | None = None, stats: dict
     return reduce(DataFrame.unionByName, out)
 
 
+def dependency_report(df: DataFrame, determinant: tuple[str, ...], dependent: str) -> DataFrame:
+    """(k0.., value, first, rows) of every conflicting determinant: one row a value, for display."""
+    names = [f"k{i}" for i in range(len(determinant))]
+    pairs = dependency_pairs(df, determinant, dependent).where("d is not null")
+    bad = pairs.groupBy(*names).agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    return pairs.join(bad, names, "left_semi").select(*names, F.col("d").alias("value"), F.col("at").alias("first"), F.col("n").alias("rows"))
+
+
 DETECTORS: tuple[Detector, ...] = (detect_type_mismatch, detect_decimal_shift, detect_fd_violation)
 
 
@@ -169,7 +197,13 @@ def has_unsafe(issues: DataFrame) -> DataFrame:
 
 
 def summarize(issues: DataFrame) -> DataFrame:
-    """By column, type and severity: the distinct rows, sorted, and their number."""
+    """By column, type and severity: the number of distinct rows, the first and the last."""
+    rows = issues.groupBy("column", "issue_type", "severity", ROW).agg(F.lit(1).alias("one"))
+    return rows.groupBy("column", "issue_type", "severity").agg(F.count("*").alias("n"), F.min(ROW).alias("first_row"), F.max(ROW).alias("last_row"))
+
+
+def row_lists(issues: DataFrame) -> DataFrame:
+    """The same groups with all their rows, sorted, in one cell: for documents that hold such lists."""
     return issues.groupBy("column", "issue_type", "severity").agg(F.array_sort(F.collect_set(ROW)).alias("row_indices"), F.countDistinct(ROW).alias("n"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .detect import ROW, cells
 
+#: The published issue types, in their order.
 ISSUE_TYPES = ("missing_value", "format_error", "type_mismatch", "duplicate", "near_duplicate", "cross_field", "business_rule", "referential_integrity", "outlier")
 WHOLE_ROW = "_row"
 TRUTH = "_row bigint, column string, type string, expected string, original string, new_value string, ord int"
@@ -149,18 +150,18 @@ def with_duplicates(df: DataFrame, every: int, at: int, first_new: int) -> tuple
     return df.unionByName(copied.drop("_old")), truth
 
 
-def episode_table(spark: SparkSession, task: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(corrupted table, truth) of an audit task; an unknown task is the first."""
+def episode_table(spark: SparkSession, task: str, seed: int = 42, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(corrupted table, truth) of an audit task, of its own size or of ``rows``; an unknown task is the first."""
     if task == "task_3_integrity_auditor":
-        clean, patterns = clean_orders(spark, clean_products(spark, seed), seed), order_patterns()
+        clean, patterns = clean_orders(spark, clean_products(spark, seed), seed, rows or 250), order_patterns()
     elif task == "task_2_duplicate_detective":
-        clean, patterns = clean_contacts(spark, seed), contact_patterns()
+        clean, patterns = clean_contacts(spark, seed, rows or 120), contact_patterns()
     else:
-        clean, patterns = clean_customers(spark, seed), customer_patterns()
+        clean, patterns = clean_customers(spark, seed, rows or 50), customer_patterns()
     planted = overlay(clean, patterns)
     dirty = corrupt(clean, planted)
     if task == "task_2_duplicate_detective":
-        dirty, copies = with_duplicates(dirty, 24, 2, 120)
+        dirty, copies = with_duplicates(dirty, 24, 2, rows or 120)
         planted = planted.unionByName(copies)
     return dirty, planted
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import Schema
 from ..functions.text import SENTINELS, strip
-from .detect import DOMINANCE, ROW, cells, column_statistics, dependency_groups, severity_rank
+from .detect import DOMINANCE, ROW, cells, column_statistics, dependency_pairs, severity_rank
 
 FIX = "_row bigint, column string, old_value string, new_value string, detector_id string, operation string, reason string, confidence double, provenance string"
 CARRIED = ("issue_type", "severity", "det_ord", "col_ord", "first")
@@ -32,18 +32,20 @@ def repair_decimal_shift(issues: DataFrame, df: DataFrame, schema: Schema | None
 
 def repair_type_mismatch(issues: DataFrame, df: DataFrame, schema: Schema | None = None, stats: dict | None = None) -> DataFrame:
     """Blank for a word that stands for a missing value in a mostly numeric column."""
-    stats = stats or column_statistics(df, cells(df))
+    stats = stats or column_statistics(df, cells(df), medians=False)
     numeric = [c for c, s in stats.items() if (n := s["numeric"] + s["date"] + s["string"]) and s["numeric"] / n >= DOMINANCE]
     hit = issues.where((F.col("issue_type") == "type_mismatch") & F.col("column").isin(numeric) & F.lower(strip(F.col("raw"))).isin(*SENTINELS) & (F.col("raw") != ""))
     return _fix(hit, F.lit(""), "type_mismatch", F.concat(F.lit("Normalize sentinel value '"), F.col("raw"), F.lit("' to a blank cell in predominantly numeric column '"), F.col("column"), F.lit("'.")))
 
 
 def majorities(df: DataFrame, determinant: tuple[str, ...], dependent: str) -> DataFrame:
-    """Conflicting groups with their strict majority value; ``majority`` is null on a tie."""
+    """Conflicting groups with their strict majority value; ``majority`` is null on a tie. Aggregates
+    alone, so a group may have any number of values."""
     names = [f"k{i}" for i in range(len(determinant))]
-    ranked = F.reverse(F.array_sort(F.transform("values", lambda v: F.struct(v["n"].alias("n"), v["d"].alias("d")))))
-    groups = dependency_groups(df, determinant, dependent).withColumn("ranked", ranked)
-    return groups.select(*names, F.when(F.col("ranked")[0]["n"] > F.col("ranked")[1]["n"], F.col("ranked")[0]["d"]).alias("majority"), F.aggregate("ranked", F.lit(0).cast("long"), lambda a, v: a + v["n"]).alias("rows"), F.col("ranked")[0]["n"].alias("majority_rows"))
+    pairs = dependency_pairs(df, determinant, dependent).where("d is not null")
+    groups = pairs.groupBy(*names).agg(F.count("*").alias("values"), F.max("n").alias("majority_rows"), F.sum("n").alias("rows"), F.max_by("d", "n").alias("top")).where("values > 1")
+    tied = pairs.join(groups, names).where("n = majority_rows").groupBy(*names).agg(F.count("*").alias("winners"))
+    return groups.join(tied, names).select(*names, F.when(F.col("winners") == 1, F.col("top")).alias("majority"), "rows", "majority_rows")
 
 
 def repair_fd_violation(issues: DataFrame, df: DataFrame, schema: Schema | None, resolver: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

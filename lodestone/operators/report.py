@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detect import ROW, severity_rank, summarize
+from .detect import ROW, row_lists, severity_rank
 
 
 def issues_json(issues: DataFrame) -> DataFrame:
     """One JSON object a column, type and severity, with its distinct rows and their number."""
-    s = summarize(issues)
-    return s.select(F.to_json(F.struct("column", "issue_type", "severity", "row_indices", F.col("n").alias("count"))).alias("json"))
+    return row_lists(issues).select(F.to_json(F.struct("column", "issue_type", "severity", "row_indices", F.col("n").alias("count"))).alias("json"))
 
 
 def fixes_json(fixes: DataFrame) -> DataFrame:

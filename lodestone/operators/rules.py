@@ -44,7 +44,18 @@ def broken(df: DataFrame, checks: list[Column]) -> DataFrame:
     """(_row, column, type, fix, confidence, emit_ord) of every broken rule."""
     if not checks:
         return df.sparkSession.createDataFrame([], "_row bigint, column string, type string, fix string, confidence double, emit_ord int")
-    return df.select(ROW, F.posexplode(F.array(*checks)).alias("emit_ord", "i")).where("i is not null").select(ROW, "i.*", "emit_ord")
+    tagged = F.array(*(F.struct(c.alias("i"), F.lit(k).alias("emit_ord")) for k, c in enumerate(checks)))
+    return df.select(ROW, F.explode(F.filter(tagged, lambda x: x["i"].isNotNull())).alias("x")).select(ROW, "x.i.*", "x.emit_ord")
+
+
+#: Types whose cells are numbers already and need no parsing.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def number(column: str, types: dict[str, str] | None = None) -> Column:
+    """A cell's number; ``types``, as of ``df.dtypes``, say which columns hold numbers rather than text."""
+    plain = types and types.get(column, "").split("(")[0] in NUMBERS
+    return F.col(column).cast("double") if plain else to_double(F.col(column).cast("string"))
 
 
 def null_checks(columns: list[str]) -> list[Column]:
@@ -71,25 +82,26 @@ def format_checks(types: dict[str, str], tags: dict[str, Column] | None = None)
     return out
 
 
-def cross_field_checks(category: Column | None = None) -> list[Column]:
+def cross_field_checks(category: Column | None = None, types: dict[str, str] | None = None, only: tuple[str, ...] = ()) -> list[Column]:
     """Total against quantity, price and discount; shipping before ordering; the looked-up category;
-    ids out of range. ``category`` is the joined product's category."""
-    n = lambda c: to_double(F.col(c).cast("string"))
+    ids out of range. ``category`` is the joined product's category; ``only`` names the columns to check."""
+    n = lambda c: number(c, types)
     total = F.round(n("quantity") * n("unit_price") * (1 - n("discount_pct") / 100), 2)
     diff = F.abs(n("order_total") - total)
     order, ship, pid = F.col("order_date").cast("string"), F.col("ship_date").cast("string"), n("product_id")
-    out = [
-        issue(diff > TOTAL_SLACK, "order_total", "cross_field", F.least(F.lit(1.0), diff / 10), F.format_string("%.2f", total)),
-        issue((order != "") & (ship != "") & (ship < order), "ship_date", "cross_field", 0.95, order),
-    ]
+    out = {
+        "order_total": issue(diff > TOTAL_SLACK, "order_total", "cross_field", F.least(F.lit(1.0), diff / 10), F.format_string("%.2f", total)),
+        "ship_date": issue((order != "") & (ship != "") & (ship < order), "ship_date", "cross_field", 0.95, order),
+        "product_id": issue((pid < LEAST_ID) | (pid > MOST_ID), "product_id", "referential_integrity", 1.0),
+    }
     if category is not None:
-        out.append(issue((category != "") & (F.col("product_category") != "") & (category != F.col("product_category")), "product_category", "cross_field", 0.98, category))
-    return [*out, issue((pid < LEAST_ID) | (pid > MOST_ID), "product_id", "referential_integrity", 1.0)]
+        out["product_category"] = issue((category != "") & (F.col("product_category") != "") & (category != F.col("product_category")), "product_category", "cross_field", 0.98, category)
+    return [out[c] for c in ("order_total", "ship_date", "product_category", "product_id") if c in out and (not only or c in only)]
 
 
-def business_checks(rules: BusinessRules) -> list[Column]:
-    """Clamps to the limits that the rules give."""
-    n, out = lambda c: to_double(F.col(c).cast("string")), []
+def business_checks(rules: BusinessRules, types: dict[str, str] | None = None) -> list[Column]:
+    """Clamps to the limits that the rules give; for ``types`` see ``number``."""
+    n, out = lambda c: number(c, types), []
     if rules.max_discount_pct is not None:
         out += [issue(n("discount_pct") > rules.max_discount_pct, "discount_pct", "business_rule", 1.0, F.lit(str(rules.max_discount_pct))), issue(n("discount_pct") < 0, "discount_pct", "business_rule", 1.0, F.lit("0"))]
     whole = F.when(n("quantity") >= 0, F.floor(n("quantity"))).otherwise(F.ceil(n("quantity")))
@@ -133,13 +145,30 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return hit.select(ROW, F.lit("_row").alias("column"), F.lit("duplicate").alias("type"), F.lit("DELETE_ROW").alias("fix"), F.lit(0.95).alias("confidence"), "dup_of")
 
 
-def similar_entities(df: DataFrame, block: Column, text: str, most: int = 2) -> DataFrame:
-    """(a, b, distance) of rows in one block whose texts differ by 1 to ``most`` edits. Blocks bound
-    the pairs; equal texts are met once, by their first row."""
-    one = df.groupBy(block.alias("block"), F.col(text).alias("t")).agg(F.min(ROW).alias("r"))
-    a, b = one.select("block", F.col("t").alias("ta"), F.col("r").alias("a")), one.select("block", F.col("t").alias("tb"), F.col("r").alias("b"))
-    near = a.join(b, "block").where((F.col("a") < F.col("b")) & (F.abs(F.length("ta") - F.length("tb")) <= most))
-    return near.withColumn("distance", F.levenshtein("ta", "tb")).where((F.col("distance") >= 1) & (F.col("distance") <= most)).select("a", "b", "distance")
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n): the keys of more than one row."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def similar_entities(df: DataFrame, text: str, most: int = 2) -> DataFrame:
+    """(a, b, distance) of rows whose texts differ by 1 to ``most`` edits; equal texts are met once, by
+    their first row.
+
+    Exact without comparing all pairs: of ``most`` + 1 pieces that a text is cut into, edits leave one
+    intact, which stands in the other text at most ``most`` places further or back. So texts meet by
+    (length, piece number, piece), and only those that share one are compared.
+    """
+    one = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.min(ROW).alias("r")).withColumn("n", F.length("t"))
+    cut = lambda i, n: F.floor(n * i / F.lit(most + 1)).cast("int")
+    piece = lambda i: F.struct(F.lit(i).alias("i"), F.substring(F.col("t"), cut(i, F.col("n")) + 1, cut(i + 1, F.col("n")) - cut(i, F.col("n"))).alias("piece"))
+    pieces = one.select("t", "r", F.col("n").alias("length"), F.explode(F.array(*(piece(i) for i in range(most + 1)))).alias("x")).select("t", "r", "length", "x.*")
+    spans = F.array(*(F.struct((F.col("n") + d).alias("length"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d in range(-most, most + 1) for i in range(most + 1) for s in range(-most, most + 1)))
+    other = one.select(F.col("t").alias("u"), F.col("r").alias("q"), "n", F.explode(spans).alias("x")).select("u", "q", "n", "x.*")
+    start, stop = F.floor(F.col("length") * F.col("i") / (most + 1)).cast("int"), F.floor(F.col("length") * (F.col("i") + 1) / (most + 1)).cast("int")
+    other = other.withColumn("at", start + F.col("shift")).withColumn("size", stop - start).where("length >= 0 and at >= 0 and at + size <= n")
+    other = other.select("u", "q", "length", "i", F.substring("u", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    met = pieces.join(other, ["length", "i", "piece"]).where("r < q").select("t", "r", "u", "q").distinct()
+    return met.withColumn("distance", F.levenshtein("t", "u")).where((F.col("distance") >= 1) & (F.col("distance") <= most)).select(F.col("r").alias("a"), F.col("q").alias("b"), "distance")
 
 
 def same_person(df: DataFrame, name: str, email: str, phone: str) -> DataFrame:

@@ -7,6 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import exact_mean
 from .detect import ROW, cells
 
 MOST_CALLS = 500
@@ -52,7 +53,7 @@ def rates(counts: DataFrame) -> DataFrame:
 def summary(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Mean, sample deviation (0 for one), least, most, median and number of a value by group."""
     v = F.col(value)
-    return df.groupBy(*group).agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), F.count(v).alias("n"))
+    return df.groupBy(*group).agg(exact_mean(v).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), F.count(v).alias("n"))
 
 
 def aggregate_runs(records: DataFrame) -> DataFrame:
@@ -62,14 +63,14 @@ def aggregate_runs(records: DataFrame) -> DataFrame:
     out = [F.count_if(ok).alias("seeds_completed"), F.min(F.when(~ok, F.col("skip_reason"))).alias("_skip")]
     for c in ("precision", "recall", "f1", "avg_steps", "quota_units", "runtime_s"):
         v = F.when(ok, F.coalesce(F.col(c), F.lit(0.0)))
-        out += [F.round(F.avg(v), 4).alias(f"{c}_mean"), F.when(F.count(v) > 0, F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4)).alias(f"{c}_std")]
+        out += [exact_mean(v).alias(f"{c}_mean"), F.when(F.count(v) > 0, F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4)).alias(f"{c}_std")]
     got = records.groupBy("method", "dataset").agg(*out)
     return got.withColumn("status", F.when(F.col("seeds_completed") > 0, "ok").otherwise("skipped")).withColumn("skip_reason", F.when(F.col("seeds_completed") == 0, F.col("_skip"))).drop("_skip")
 
 
 def across_datasets(runs: DataFrame) -> DataFrame:
     """Mean of each method's dataset means, by method name; skipped methods stay."""
-    return runs.groupBy("method").agg(F.max(F.when(F.col("status") == "ok", "ok").otherwise(None)).alias("ok"), *(F.round(F.avg(f"{c}_mean"), 4).alias(c) for c in ("precision", "recall", "f1", "avg_steps"))).withColumn("status", F.coalesce("ok", F.lit("skipped"))).drop("ok").orderBy("method")
+    return runs.groupBy("method").agg(F.max(F.when(F.col("status") == "ok", "ok").otherwise(None)).alias("ok"), *(exact_mean(F.col(f"{c}_mean")).alias(c) for c in ("precision", "recall", "f1", "avg_steps"))).withColumn("status", F.coalesce("ok", F.lit("skipped"))).drop("ok").orderBy("method")
 
 
 def quota_units(calls: Column, tokens: Column) -> Column:

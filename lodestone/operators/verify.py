@@ -77,7 +77,7 @@ def verify(df: DataFrame, fixes: DataFrame, schema: Schema | None) -> DataFrame:
     cell's existence and the operation are checked.
     """
     present = cells(df)
-    cand = fixes.withColumn("cand_id", F.xxhash64(ROW, "column", "new_value", F.coalesce("old_value", F.lit(""))))
+    cand = fixes.withColumn("cand_id", F.struct(ROW, "column", "new_value", "old_value"))
     known_rows = df.select(F.col(ROW).alias("_known_row"))
     sound = cand.join(known_rows, cand[ROW] == F.col("_known_row"), "left")
     structural = F.col("_known_row").isNotNull() & (F.col("operation") == "update") & F.col("column").isin(*present)

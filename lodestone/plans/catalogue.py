@@ -142,7 +142,7 @@ def detect_all_sorted(spark, sf_dir):
 
 @query(ALL + " SELECT \"column\", issue_type, severity, count(DISTINCT _row) AS n, min(_row) AS first_row, max(_row) AS last_row FROM i GROUP BY ALL")
 def issue_summary(spark, sf_dir):
-    return detect.summarize(_part_issues(spark, sf_dir)).select("column", "issue_type", "severity", "n", F.element_at("row_indices", 1).alias("first_row"), F.element_at("row_indices", -1).alias("last_row"))
+    return detect.summarize(_part_issues(spark, sf_dir)).select("column", "issue_type", "severity", "n", "first_row", "last_row")
 
 
 @query(ALL + " SELECT severity, count(*) AS n FROM i GROUP BY severity")
@@ -256,40 +256,40 @@ def minimal_edit_choice(spark, sf_dir):
     return repair.prefer_minimal_edit(one("p_brand", 0).unionAll(one("p_type", 1))).select(ROW, "new_value", "distance")
 
 
-def _candidates(p: DataFrame, every: int, column: str, new) -> DataFrame:
-    return p.where(F.col(ROW) % every == 0).select(ROW, F.lit(column).alias("column"), F.col(column).alias("old_value"), new.alias("new_value"), F.lit("update").alias("operation"))
+def _candidates(p: DataFrame, column: str, new) -> DataFrame:
+    return p.select(ROW, F.lit(column).alias("column"), F.col(column).alias("old_value"), new.alias("new_value"), F.lit("update").alias("operation"))
 
 
-@query("""WITH c AS (SELECT p_partkey AS _row, CAST(CAST(p_size + 10 AS INTEGER) AS VARCHAR) AS new_value FROM part WHERE p_partkey % 3 = 0)
+@query("""WITH c AS (SELECT p_partkey AS _row, CAST(CAST(p_size + 10 AS INTEGER) AS VARCHAR) AS new_value FROM part)
   SELECT _row, new_value, CASE WHEN CAST(new_value AS INTEGER) BETWEEN 12 AND 49 THEN 'ACCEPT' ELSE 'REJECT' END AS verification,
   CASE WHEN CAST(new_value AS INTEGER) < 12 THEN 'Row ' || _row || ' would violate the minimum bound for column ''size''.' WHEN CAST(new_value AS INTEGER) > 49 THEN 'Row ' || _row || ' would violate the maximum bound for column ''size''.' END AS explanation FROM c""")
 def verify_domain_bounds(spark, sf_dir):
     p = parts_text(spark, sf_dir).select(ROW, "size")
     schema = Schema(columns={"size": "int"}, bounds=(DomainBound("size", 12, 50, True, False),))
-    got = verify.verify(p, _candidates(p, 3, "size", (F.col("size").cast("int") + 10).cast("string")), schema)
+    got = verify.verify(p, _candidates(p, "size", (F.col("size").cast("int") + 10).cast("string")), schema)
     return got.select(ROW, "new_value", "verification", F.when(F.col("verification") == "REJECT", verify.explain(F.col("unsat_core"))).alias("explanation"))
 
 
-@query(f"""WITH {PARTS}, c AS (SELECT _row, name, brand, size, CASE WHEN _row % 2 = 0 THEN kind ELSE 'ECONOMY' END AS new_value FROM p WHERE _row % 5 = 0)
+@query(f"""WITH {PARTS}, c AS (SELECT _row, name, brand, size, CASE WHEN _row % 2 = 0 THEN kind ELSE 'ECONOMY' END AS new_value FROM p)
   SELECT c._row, new_value, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q._row <> c._row AND q.brand = c.brand AND q.size = c.size AND q.kind <> c.new_value) THEN 'REJECT' ELSE 'ACCEPT' END AS verification FROM c""")
 def verify_fd(spark, sf_dir):
     p = parts_text(spark, sf_dir)
-    return verify.verify(p, _candidates(p, 5, "kind", F.when(F.col(ROW) % 2 == 0, F.col("kind")).otherwise("ECONOMY")), BRAND_SIZE_KIND).select(ROW, "new_value", "verification")
+    return verify.verify(p, _candidates(p, "kind", F.when(F.col(ROW) % 2 == 0, F.col("kind")).otherwise("ECONOMY")), BRAND_SIZE_KIND).select(ROW, "new_value", "verification")
 
 
-@query(f"""WITH {PARTS}, c AS (SELECT _row, kind, size, 'Brand#' || (_row % 25 + 1) AS new_value FROM p WHERE _row % 5 = 1)
+@query(f"""WITH {PARTS}, c AS (SELECT _row, kind, size, 'Brand#' || (_row % 25 + 1) AS new_value FROM p)
   SELECT c._row, new_value, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q._row <> c._row AND q.brand = c.new_value AND q.size = c.size AND q.kind <> c.kind) THEN 'REJECT' ELSE 'ACCEPT' END AS verification FROM c""")
 def verify_fd_determinant(spark, sf_dir):
     p = parts_text(spark, sf_dir)
     new = F.concat(F.lit("Brand#"), (F.col(ROW) % 25 + 1).cast("string"))
-    return verify.verify(p, p.where(F.col(ROW) % 5 == 1).select(ROW, F.lit("brand").alias("column"), F.col("brand").alias("old_value"), new.alias("new_value"), F.lit("update").alias("operation")), BRAND_SIZE_KIND).select(ROW, "new_value", "verification")
+    return verify.verify(p, p.select(ROW, F.lit("brand").alias("column"), F.col("brand").alias("old_value"), new.alias("new_value"), F.lit("update").alias("operation")), BRAND_SIZE_KIND).select(ROW, "new_value", "verification")
 
 
 @query(f"""WITH {ORDERS}, b AS (SELECT count(*) FILTER (TRY_CAST(price AS DOUBLE) IS NULL) AS bad FROM o)
-  SELECT _row, CASE WHEN (SELECT bad FROM b) - CASE WHEN TRY_CAST(price AS DOUBLE) IS NULL THEN 1 ELSE 0 END + 0 > 0 THEN 'UNKNOWN' ELSE 'ACCEPT' END AS verification FROM o WHERE _row % 7 = 0""")
+  SELECT _row, CASE WHEN (SELECT bad FROM b) - CASE WHEN TRY_CAST(price AS DOUBLE) IS NULL THEN 1 ELSE 0 END + 0 > 0 THEN 'UNKNOWN' ELSE 'ACCEPT' END AS verification FROM o""")
 def verify_types(spark, sf_dir):
     o = orders_text(spark, sf_dir).select(ROW, "price")
-    return verify.verify(o, _candidates(o, 7, "price", F.lit("12.50")), Schema(columns={"price": "float"})).select(ROW, "verification")
+    return verify.verify(o, _candidates(o, "price", F.lit("12.50")), Schema(columns={"price": "float"})).select(ROW, "verification")
 
 
 GROUPS = """t AS (SELECT p_partkey AS _row, 'g' || (p_partkey // 10) AS grp, CASE WHEN (p_partkey // 10) % 3 = 0 AND p_partkey % 10 = 4 THEN 'odd' WHEN (p_partkey // 10) % 3 = 1 AND p_partkey % 10 IN (4, 5) THEN 'odd' ELSE 'even' END AS val FROM part)"""
@@ -480,15 +480,14 @@ def detect_exact_duplicates(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_line_keys(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return rules.repeated_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""WITH t AS (SELECT min(p_partkey) AS r, CASE WHEN p_partkey % 9 = 0 THEN replace(p_name, 'e', '') ELSE p_name END AS t, left(p_name, 2) AS b FROM part GROUP BY ALL)
-  SELECT x.r AS a, y.r AS b, CAST(levenshtein(x.t, y.t) AS INTEGER) AS distance FROM t x JOIN t y ON x.b = y.b AND x.r < y.r WHERE levenshtein(x.t, y.t) BETWEEN 1 AND 2""")
+@query("""WITH t AS (SELECT min(p_partkey) AS r, CASE WHEN p_partkey % 9 = 0 THEN replace(p_name, 'e', '') ELSE p_name END AS t FROM part GROUP BY ALL)
+  SELECT x.r AS a, y.r AS b, CAST(levenshtein(x.t, y.t) AS INTEGER) AS distance FROM t x JOIN t y ON x.r < y.r WHERE abs(length(x.t) - length(y.t)) <= 2 AND levenshtein(x.t, y.t) BETWEEN 1 AND 2""")
 def detect_near_duplicates(spark, sf_dir):
     t = F.when(F.col("p_partkey") % 9 == 0, F.replace(F.col("p_name"), F.lit("e"), F.lit(""))).otherwise(F.col("p_name"))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(ROW), t.alias("t"), F.substring("p_name", 1, 2).alias("b"))
-    return rules.similar_entities(p, F.col("b"), "t")
+    return rules.similar_entities(table(spark, sf_dir, "part").select(F.col("p_partkey").alias(ROW), t.alias("t")), "t")
 
 
 LINES = """t AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS _row, l_partkey AS product_id, l_quantity AS quantity, round(l_extendedprice / l_quantity, 2) AS unit_price, l_discount * 100 AS discount_pct,
@@ -506,13 +505,14 @@ def lines(spark, sf_dir):
 
 @query(f"WITH {LINES}, f AS (SELECT _row, round(quantity * unit_price * (1 - discount_pct / 100), 2) AS want, order_total FROM t) SELECT _row, round(least(1.0, abs(order_total - want) / 10), 4) AS confidence FROM f WHERE abs(order_total - want) > 1.0")
 def cross_field_formula(spark, sf_dir):
-    got = rules.broken(lines(spark, sf_dir), rules.cross_field_checks()).where("column = 'order_total'")
+    t = lines(spark, sf_dir)
+    got = rules.broken(t, rules.cross_field_checks(types=dict(t.dtypes), only=("order_total",)))
     return got.select(ROW, F.round("confidence", 4).alias("confidence"))
 
 
 @query(f"WITH {LINES} SELECT _row, order_date AS fix FROM t WHERE ship_date < order_date")
 def temporal_order(spark, sf_dir):
-    return rules.broken(lines(spark, sf_dir), rules.cross_field_checks()).where("column = 'ship_date'").select(ROW, "fix")
+    return rules.broken(lines(spark, sf_dir), rules.cross_field_checks(only=("ship_date",))).select(ROW, "fix")
 
 
 @query("WITH t AS (SELECT c_custkey AS _row, c_nationkey AS k, CASE WHEN c_custkey % 6 = 1 THEN 'NATION_0' ELSE 'NATION_' || c_nationkey END AS cat FROM customer) SELECT _row, n_name AS fix FROM t JOIN nation ON k = n_nationkey WHERE n_name <> cat")
@@ -523,7 +523,7 @@ def category_lookup(spark, sf_dir):
     joined = rules.with_category(orders, products)
     for c in ("quantity", "unit_price", "discount_pct", "order_total", "order_date", "ship_date"):
         joined = joined.withColumn(c, F.lit(None).cast("string"))
-    return rules.broken(joined, rules.cross_field_checks(F.col("real_category"))).where("column = 'product_category'").select(ROW, "fix")
+    return rules.broken(joined, rules.cross_field_checks(F.col("real_category"), only=("product_category",))).select(ROW, "fix")
 
 
 @query("SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderkey % 53 = 7 THEN o_custkey + 100000000 ELSE o_custkey END NOT IN (SELECT c_custkey FROM customer)")
@@ -541,25 +541,27 @@ LIMITS = rules.BusinessRules(max_discount_pct=9, min_quantity=3, max_quantity=45
     " UNION ALL SELECT _row, 'unit_price', '1000.00' FROM t WHERE unit_price < 1000 UNION ALL SELECT _row, 'order_date', '1997' || substr(order_date, 5) FROM t WHERE CAST(left(order_date, 4) AS INTEGER) > 1997"
 )
 def business_rules(spark, sf_dir):
-    return rules.broken(lines(spark, sf_dir), rules.business_checks(LIMITS)).select(ROW, "column", "fix")
+    t = lines(spark, sf_dir)
+    return rules.broken(t, rules.business_checks(LIMITS, dict(t.dtypes))).select(ROW, "column", "fix")
 
 
 @query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey > 9000 OR l_partkey < 0 GROUP BY l_partkey")
 def id_range(spark, sf_dir):
-    got = rules.broken(lines(spark, sf_dir).withColumn(ROW, F.col("product_id")), rules.cross_field_checks()).where("type = 'referential_integrity'")
+    t = lines(spark, sf_dir).withColumn(ROW, F.col("product_id"))
+    got = rules.broken(t, rules.cross_field_checks(types=dict(t.dtypes), only=("product_id",)))
     return got.groupBy(F.col(ROW).alias("l_partkey")).agg(F.count("*").alias("n"))
 
 
 # Audit sessions: actions synthesised from events
 
-ACTIONS = "a AS (SELECT event_id AS action_id, user_id AS episode, event_id % 500 AS _row, CASE event_id % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE 'name' END AS \"column\", event_type AS issue_type, event_id AS step FROM events), t AS (SELECT event_id AS _row, CASE WHEN event_id % 5 = 0 THEN '_row' WHEN event_id % 2 = 0 THEN 'email' ELSE 'phone' END AS \"column\", event_type AS type, CASE WHEN event_id % 4 <> 0 THEN 'v' || event_id END AS expected, CAST(event_id AS INTEGER) AS ord FROM events WHERE event_id < 500 AND event_id % 2 = 0 UNION ALL SELECT event_id, 'phone', 'click', NULL, CAST(event_id + 1000 AS INTEGER) FROM events WHERE event_id < 500 AND event_id % 10 = 0)"
+ACTIONS = "a AS (SELECT event_id AS action_id, user_id AS episode, event_id * 7 % (SELECT count(*) FROM events) AS _row, CASE event_id % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE 'name' END AS \"column\", event_type AS issue_type, event_id AS step FROM events), t AS (SELECT event_id AS _row, CASE WHEN event_id % 5 = 0 THEN '_row' WHEN event_id % 2 = 0 THEN 'email' ELSE 'phone' END AS \"column\", event_type AS type, CASE WHEN event_id % 4 <> 0 THEN 'v' || event_id END AS expected, CAST(event_id AS INTEGER) AS ord FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'phone', 'click', NULL, CAST(event_id + 1000000000 AS INTEGER) FROM events WHERE event_id % 10 = 0)"
 
 
 def actions_of_events(spark, sf_dir):
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
-    a = e.select(k.alias("action_id"), F.col("user_id").alias("episode"), (k % 500).alias(ROW), F.when(k % 3 == 0, "email").when(k % 3 == 1, "phone").otherwise("name").alias("column"), F.col("event_type").alias("issue_type"), k.alias("step"))
-    first = e.where((k < 500) & (k % 2 == 0)).select(k.alias(ROW), F.when(k % 5 == 0, "_row").when(k % 2 == 0, "email").otherwise("phone").alias("column"), F.col("event_type").alias("type"), F.when(k % 4 != 0, F.concat(F.lit("v"), k.cast("string"))).alias("expected"), k.cast("int").alias("ord"))
-    more = e.where((k < 500) & (k % 10 == 0)).select(k, F.lit("phone"), F.lit("click"), F.lit(None).cast("string"), (k + 1000).cast("int"))
+    a = e.select(k.alias("action_id"), F.col("user_id").alias("episode"), (k * 7 % e.count()).alias(ROW), F.when(k % 3 == 0, "email").when(k % 3 == 1, "phone").otherwise("name").alias("column"), F.col("event_type").alias("issue_type"), k.alias("step"))
+    first = e.where(k % 2 == 0).select(k.alias(ROW), F.when(k % 5 == 0, "_row").when(k % 2 == 0, "email").otherwise("phone").alias("column"), F.col("event_type").alias("type"), F.when(k % 4 != 0, F.concat(F.lit("v"), k.cast("string"))).alias("expected"), k.cast("int").alias("ord"))
+    more = e.where(k % 10 == 0).select(k, F.lit("phone"), F.lit("click"), F.lit(None).cast("string"), (k + 1_000_000_000).cast("int"))
     return a, first.unionAll(more)
 
 
@@ -599,10 +601,10 @@ def remaining_hint(spark, sf_dir):
     return _totals(spark, sf_dir).select("episode", left.alias("remaining"), audit.remaining_hint(left).alias("hint"))
 
 
-@query(f"WITH {ACTIONS}, i AS (SELECT episode, step, _row, min(step) OVER (PARTITION BY episode, _row) = step AS new FROM a), p AS (SELECT _row, count(*) AS issues FROM t GROUP BY _row), s AS (SELECT episode, step, sum(CASE WHEN new THEN coalesce(issues, 0) ELSE 0 END) AS u, count(*) FILTER (new) AS n FROM i LEFT JOIN p USING (_row) GROUP BY ALL) SELECT episode, step, round(CASE WHEN n = 0 THEN -0.01 ELSE u * 0.01 + n * 0.01 * 0.5 * (1 - sum(n) OVER (PARTITION BY episode ORDER BY step) / 500) END, 6) AS bonus FROM s")
+@query(f"WITH {ACTIONS}, i AS (SELECT episode, step, _row, min(step) OVER (PARTITION BY episode, _row) = step AS new FROM a), p AS (SELECT _row, count(*) AS issues FROM t GROUP BY _row), s AS (SELECT episode, step, sum(CASE WHEN new THEN coalesce(issues, 0) ELSE 0 END) AS u, count(*) FILTER (new) AS n FROM i LEFT JOIN p USING (_row) GROUP BY ALL) SELECT episode, step, round(CASE WHEN n = 0 THEN -0.01 ELSE u * 0.01 + n * 0.01 * 0.5 * (1 - sum(n) OVER (PARTITION BY episode ORDER BY step) / (SELECT count(*) FROM events)) END, 6) AS bonus FROM s")
 def exploration_bonus(spark, sf_dir):
     a, t = actions_of_events(spark, sf_dir)
-    return audit.exploration_bonus(a.select("episode", "step", ROW), t, a.where("false").select("episode", "step", ROW), 500)
+    return audit.exploration_bonus(a.select("episode", "step", ROW), t, a.where("false").select("episode", "step", ROW), table(spark, sf_dir, "events").count())
 
 
 @query("WITH f AS (SELECT user_id, event_id, value, sum(CAST(value AS DECIMAL(12,2)) - 10) OVER (PARTITION BY user_id ORDER BY event_id) + 0.0001 AS free FROM events), e AS (SELECT user_id, arg_max(free, event_id) AS last, min(free) AS low FROM f GROUP BY user_id) SELECT user_id, round(CAST(last - least(low - 0.0001, 0) AS DOUBLE), 4) AS total FROM e")
@@ -661,11 +663,11 @@ def truth_census(spark, sf_dir):
     return truth_census(actions_of_events(spark, sf_dir)[1])
 
 
-@query(f"WITH {ACTIONS}, r AS (SELECT *, count(*) OVER (PARTITION BY _row, \"column\") AS n FROM t) SELECT ord, CASE WHEN _row > 300 THEN 'row' WHEN \"column\" = 'phone' THEN 'column' WHEN type NOT IN ('missing_value', 'format_error', 'type_mismatch', 'duplicate', 'near_duplicate', 'cross_field', 'business_rule', 'referential_integrity', 'outlier') THEN 'type' ELSE 'repeated' END AS fault FROM r")
+@query(f"WITH {ACTIONS}, r AS (SELECT *, count(*) OVER (PARTITION BY _row, \"column\") AS n FROM t) SELECT ord, CASE WHEN _row % 3 = 0 THEN 'row' WHEN \"column\" = 'phone' THEN 'column' WHEN type NOT IN ('missing_value', 'format_error', 'type_mismatch', 'duplicate', 'near_duplicate', 'cross_field', 'business_rule', 'referential_integrity', 'outlier') THEN 'type' ELSE 'repeated' END AS fault FROM r")
 def truth_validation(spark, sf_dir):
     from ..operators.generate import truth_faults
 
-    rows = table(spark, sf_dir, "events").where("event_id <= 300").select(F.col("event_id").alias(ROW))
+    rows = table(spark, sf_dir, "events").where("event_id % 3 <> 0").select(F.col("event_id").alias(ROW))
     return truth_faults(actions_of_events(spark, sf_dir)[1], rows, ["email", "name"]).select("ord", "fault")
 
 
@@ -712,11 +714,11 @@ def episode_replay(spark, sf_dir):
     step = F.row_number().over(Window.partitionBy("episode").orderBy("action_id"))
     kind = F.when(F.col("action_id") % 4 == 3, "fix").otherwise("diagnose")
     acts = a.select("episode", step.alias("step"), kind.alias("action_type"), ROW, "column", "issue_type", F.concat(F.lit("v"), F.col(ROW).cast("string")).alias("new_value"), F.lit("correct_value").alias("fix_type"), F.lit(None).cast("string").alias("justification"))
-    return audit.replay(acts, t, 500, audit.STEPS["task_3_integrity_auditor"])
+    return audit.replay(acts, t, table(spark, sf_dir, "events").count(), audit.STEPS["task_3_integrity_auditor"])
 
 
 @query()
 def generated_orders(spark, sf_dir):
     from ..operators.generate import episode_table
 
-    return episode_table(spark, "task_3_integrity_auditor")[0]
+    return episode_table(spark, "task_3_integrity_auditor", rows=table(spark, sf_dir, "orders").count())[0]
