@@ -35,8 +35,10 @@ def exact_medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float |
     bounds = {i: (float("-inf"), float("inf")) for i in range(len(names))}
     last, settled, total = dict(bounds), set(), {}
     within = lambda i: F.when(F.col(f"v{i}").between(*bounds[i]), F.col(f"v{i}"))
+    sketched = lambda i, share: F.percentile_approx(within(i), [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)], ACCURACY).alias(f"p{i}")
     while bounds:
-        got = rows.agg(*(x for i in bounds for x in (F.count(within(i)).alias(f"n{i}"), F.count_if(F.col(f"v{i}") < bounds[i][0]).alias(f"b{i}")))).first()
+        first = [] if total else [sketched(i, 0.5) for i in bounds]
+        got = rows.agg(*(x for i in bounds for x in (F.count(within(i)).alias(f"n{i}"), F.count_if(F.col(f"v{i}") < bounds[i][0]).alias(f"b{i}"))), *first).first()
         total = total or {i: got[f"n{i}"] for i in bounds}
         bounds = {i: b for i, b in bounds.items() if total[i]}
         lost = {i for i in bounds if not got[f"b{i}"] <= (total[i] - 1) // 2 <= total[i] // 2 < got[f"b{i}"] + got[f"n{i}"]}
@@ -47,7 +49,7 @@ def exact_medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float |
         if not wide:
             break
         last, middle = dict(bounds), {i: ((total[i] - 1) / 2 - got[f"b{i}"]) / got[f"n{i}"] for i in wide}
-        sketch = rows.agg(*(F.percentile_approx(within(i), [max(0.0, middle[i] - 2 / ACCURACY), min(1.0, middle[i] + 2 / ACCURACY)], ACCURACY).alias(f"p{i}") for i in wide)).first()
+        sketch = got if first else rows.agg(*(sketched(i, middle[i]) for i in wide)).first()
         for i in wide:
             settled |= {i} if tuple(sketch[f"p{i}"]) == bounds[i] else set()
             bounds[i] = tuple(sketch[f"p{i}"])

@@ -103,7 +103,7 @@ def exploration_bonus(inspections: DataFrame, truth: DataFrame, found: DataFrame
     steps = full.groupBy("episode", "step").agg(F.sum(open_).alias("undiscovered"), F.count_if("new").alias("n_new"))
     covered = F.sum("n_new").over(Window.partitionBy("episode").orderBy("step")) / F.lit(rows)
     bonus = F.when(F.col("n_new") == 0, REINSPECT).otherwise(F.col("undiscovered") * EXPLORE + F.col("n_new") * EXPLORE * 0.5 * (1 - covered))
-    return steps.select("episode", "step", F.round(bonus, 6).alias("bonus"))
+    return steps.select("episode", "step", F.round(bonus, 9).alias("bonus"))
 
 
 def action_summary(log: DataFrame) -> DataFrame:

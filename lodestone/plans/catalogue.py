@@ -601,7 +601,7 @@ def remaining_hint(spark, sf_dir):
     return _totals(spark, sf_dir).select("episode", left.alias("remaining"), audit.remaining_hint(left).alias("hint"))
 
 
-@query(f"WITH {ACTIONS}, i AS (SELECT episode, step, _row, min(step) OVER (PARTITION BY episode, _row) = step AS new FROM a), p AS (SELECT _row, count(*) AS issues FROM t GROUP BY _row), s AS (SELECT episode, step, sum(CASE WHEN new THEN coalesce(issues, 0) ELSE 0 END) AS u, count(*) FILTER (new) AS n FROM i LEFT JOIN p USING (_row) GROUP BY ALL) SELECT episode, step, round(CASE WHEN n = 0 THEN -0.01 ELSE u * 0.01 + n * 0.01 * 0.5 * (1 - sum(n) OVER (PARTITION BY episode ORDER BY step) / (SELECT count(*) FROM events)) END, 6) AS bonus FROM s")
+@query(f"WITH {ACTIONS}, i AS (SELECT episode, step, _row, min(step) OVER (PARTITION BY episode, _row) = step AS new FROM a), p AS (SELECT _row, count(*) AS issues FROM t GROUP BY _row), s AS (SELECT episode, step, sum(CASE WHEN new THEN coalesce(issues, 0) ELSE 0 END) AS u, count(*) FILTER (new) AS n FROM i LEFT JOIN p USING (_row) GROUP BY ALL) SELECT episode, step, round(CASE WHEN n = 0 THEN -0.01 ELSE u * 0.01 + n * 0.01 * 0.5 * (1 - sum(n) OVER (PARTITION BY episode ORDER BY step) / (SELECT count(*) FROM events)) END, 9) AS bonus FROM s")
 def exploration_bonus(spark, sf_dir):
     a, t = actions_of_events(spark, sf_dir)
     return audit.exploration_bonus(a.select("episode", "step", ROW), t, a.where("false").select("episode", "step", ROW), table(spark, sf_dir, "events").count())
