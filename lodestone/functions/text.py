@@ -100,6 +100,13 @@ def noisy(c: Column, seed: int, key: Column, share: float = 0.15) -> Column:
     return F.when(draw < share, changed).otherwise(c)
 
 
+def noisy_rows(columns: list[str], seed: int, key: Column, share: float = 0.15) -> dict[str, Column]:
+    """Cells of a noisy view: about ``share`` of the rows have one cell changed as by ``noisy``."""
+    row = F.pmod(F.xxhash64(key, F.lit(seed + 3)), F.lit(10_000)) / 10_000 < share
+    pick = F.pmod(F.xxhash64(key, F.lit(seed + 4)), F.lit(max(1, len(columns))))
+    return {c: F.when(row & (pick == i), noisy(F.col(f"`{c}`").cast("string"), seed, key, 1.1)).otherwise(F.col(f"`{c}`").cast("string")) for i, c in enumerate(columns)}
+
+
 def first_json_object(c: Column) -> Column:
     """The first balanced {...} of a text, by scanning depths outside quoted strings; null for none."""
 
@@ -121,10 +128,5 @@ def first_json_object(c: Column) -> Column:
     return find(c)
 
 
-def canonical(c: Column) -> Column:
-    """Numbers with two decimals, else the text; for comparing stored expectations."""
-    return F.format_string("%.2f", c)
-
-
 def token_estimate(c: Column) -> Column:
     return F.floor(F.length(c) / 4)

@@ -55,6 +55,68 @@ def final_scores(totals: DataFrame) -> DataFrame:
     return totals.withColumn("score", F.when(F.col("truths") == 0, LEAST_SCORE).otherwise(F.round(F.least(F.greatest(raw, F.lit(LEAST_SCORE)), F.lit(MOST_SCORE)), 4)))
 
 
+def clamped(c: Column) -> Column:
+    """To four places within the scores' open range; not-a-number is the least."""
+    return F.when(c.isNull() | F.isnan(c), LEAST_SCORE).otherwise(F.round(F.least(F.greatest(c, F.lit(LEAST_SCORE)), F.lit(MOST_SCORE)), 4))
+
+
+def grader_diagnostics(totals: DataFrame, rows: int, most_steps: int) -> DataFrame:
+    """``totals`` (found, fixed, truths, fixable, false_positives, steps, inspected) with the parts of the
+    score: rates, penalty and raw score, and issues a step, coverage and use of the steps, all clamped."""
+    n = lambda c: F.col(c).cast("double")
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    found, fixed = share(n("found"), n("truths")), share(n("fixed"), n("fixable"))
+    rate = F.when((n("truths") > 0) & (n("found") + n("false_positives") > 2 * n("truths")), 2 * FALSE_POSITIVE_RATE).otherwise(FALSE_POSITIVE_RATE)
+    penalty = n("false_positives") * rate
+    parts = {
+        "detection_rate": found,
+        "fix_rate": fixed,
+        "fp_penalty_rate": rate,
+        "fp_penalty_total": penalty,
+        "raw_score": found * DETECTION_WEIGHT + fixed * FIX_WEIGHT - penalty,
+        "issues_per_step": share(n("found"), n("steps")),
+        "exploration_coverage": share(n("inspected"), F.lit(float(rows))),
+        "step_utilization": share(n("steps"), F.lit(float(most_steps))),
+    }
+    return totals.withColumns({k: clamped(c) for k, c in parts.items()}).withColumn("detection_only", F.col("truths") - F.col("fixable"))
+
+
+def issue_flags(truth: DataFrame, found: DataFrame, fixed: DataFrame) -> DataFrame:
+    """``truth`` (episode, _row, column, type, expected) with ``fixable``, ``detected`` and ``fixed``: whether
+    a finding (episode, _row, column, truth_column) names it, and for fixable ones whether its row has a fix
+    (episode, _row). Findings and fixes are first counted by cell, so a session's joins are by row."""
+    key = ["episode", ROW]
+    named = found.groupBy(*key).agg(F.collect_set("column").alias("_columns"), F.collect_set("truth_column").alias("_truths"))
+    done = fixed.groupBy(*key).agg(F.lit(True).alias("_done"))
+    hit = F.col("_columns").isNotNull() & (F.array_contains("_columns", F.col("column")) | F.array_contains("_truths", F.col("column")) | (F.col("column") == WHOLE_ROW))
+    joined = truth.join(named, key, "left").join(done, key, "left")
+    fixable = F.col("expected").isNotNull()
+    return joined.select(*truth.columns, fixable.alias("fixable"), F.coalesce(hit, F.lit(False)).alias("detected"), F.when(fixable, F.coalesce("_done", F.lit(False))).alias("fixed"))
+
+
+def heuristic_actions(issues: DataFrame, rows: int, most_steps: int, first_column: str, related: tuple[str, ...] = ()) -> DataFrame:
+    """The actions of an audit by rules, one session: inspect all rows by tens and the ``related`` tables,
+    then for each cell's surest issue (_row, column, type, fix, confidence, emit_ord) a diagnosis and, where
+    a fix is known, the fix, surest first, and finish. Actions beyond the budget aren't made."""
+    from .rules import best_confidence
+
+    spark, batches = issues.sparkSession, -(-rows // 10)
+    looks = [(i + 1, list(range(10 * i, min(10 * i + 10, rows))), None) for i in range(min(batches, most_steps))] + [(batches + 1 + i, [0], t) for i, t in enumerate(related) if batches + i < most_steps]
+    seen = len(looks)
+    look = spark.createDataFrame(looks, "step int, rows array<bigint>, `table` string").select("step", F.lit("inspect").alias("action_type"), "rows", "table")
+    top = best_confidence(issues).orderBy(F.desc("confidence"), "emit_ord", ROW, "column").limit(max(0, most_steps - seen))
+    order = Window.orderBy(F.desc("confidence"), "emit_ord", ROW, "column")  # at most a session's steps
+    cost = F.when(F.coalesce(F.col("fix"), F.lit("")) != "", 2).otherwise(1)
+    placed = top.withColumn("cost", cost).withColumn("before", F.sum("cost").over(order) - F.col("cost") + seen)
+    column = F.when(F.col("column") == WHOLE_ROW, first_column).otherwise(F.col("column"))
+    gone = F.col("fix") == "DELETE_ROW"
+    diagnose = placed.select((F.col("before") + 1).cast("int").alias("step"), F.lit("diagnose").alias("action_type"), F.col(ROW), column.alias("column"), F.col("type").alias("issue_type"))
+    fix = placed.where("cost = 2").select((F.col("before") + 2).cast("int").alias("step"), F.lit("fix").alias("action_type"), F.col(ROW), column.alias("column"), F.when(~gone, F.col("fix")).alias("new_value"), F.when(gone, "delete_row").otherwise("correct_value").alias("fix_type"), F.lit("by rule").alias("justification"))
+    end = placed.agg((F.coalesce(F.max(F.col("before") + F.col("cost")), F.lit(seen)) + 1).cast("int").alias("step")).withColumn("action_type", F.lit("finalize"))
+    every = look.unionByName(diagnose, True).unionByName(fix, True).unionByName(end, True).where(F.col("step") <= most_steps)
+    return every.withColumn("episode", F.lit(0).cast("bigint"))
+
+
 def remaining_hint(remaining: Column) -> Column:
     return F.when(remaining <= 0, "none").when(remaining <= 2, "few").when(remaining <= 5, "some").otherwise("many")
 
@@ -149,13 +211,21 @@ class Session:
     def __post_init__(self):
         if self.truths is None:
             self.truths, self.fixable = len(self.truth), sum(t.get("expected") is not None for t in self.truth)
+        self.by_row: dict[int, list[dict]] = {}
+        for t in self.truth:
+            self.by_row.setdefault(t["row"], []).append(t)
         self.found: list[dict] = []
+        self.found_in: dict[int, list[dict]] = {}
         self.fixed: set[tuple[int, str]] = set()
         self.seen: set[int] = set()
         self.false_positives, self.steps, self.total, self.done = 0, 0, LEAST_SCORE, False
 
     def _truth(self, row: int, column: str) -> dict | None:
-        return next((t for t in self.truth if t["row"] == row and t["column"] in (column, WHOLE_ROW)), None)
+        return next((t for t in self.by_row.get(row, ()) if t["column"] in (column, WHOLE_ROW)), None)
+
+    def _find(self, row: int, column: str, truth: str) -> None:
+        self.found.append({"row": row, "column": column, "truth": truth})
+        self.found_in.setdefault(row, []).append(self.found[-1])
 
     def _inspect(self, a: dict) -> tuple[float, str]:
         listed = a.get("rows")
@@ -167,21 +237,20 @@ class Session:
         new, self.seen = asked - self.seen, self.seen | asked
         if not new:
             return REINSPECT, "initial"
-        known = {f["row"] for f in self.found}
-        near = sum(t["row"] in new and t["row"] not in known for t in self.truth)
+        near = sum(len(self.by_row.get(r, ())) for r in new if r not in self.found_in)
         return near * EXPLORE + len(new) * EXPLORE * 0.5 * (1 - len(self.seen) / self.rows), "initial"
 
     def _diagnose(self, a: dict) -> tuple[float, str]:
         row, column = a.get("row"), a.get("column")
         if row is None or column is None or not 0 <= row < self.rows:
             return INVALID, "error"
-        if any(f["row"] == row and (f["column"] in (column, WHOLE_ROW) or f["truth"] == WHOLE_ROW) for f in self.found):
+        if any(f["column"] in (column, WHOLE_ROW) or f["truth"] == WHOLE_ROW for f in self.found_in.get(row, ())):
             return LEAST_SCORE, "already_found"
         t = self._truth(row, column)
         if t is None:
             self.false_positives += 1
             return FALSE_POSITIVE, "incorrect"
-        self.found.append({"row": row, "column": column, "truth": t["column"]})
+        self._find(row, column, t["column"])
         return DIAGNOSE + TYPE_BONUS * (a.get("issue_type") is not None and a["issue_type"] == t["type"]), "correct"
 
     def _credit(self, provided: str, expected: str) -> float:
@@ -213,8 +282,8 @@ class Session:
         if not credit:
             return WRONG_FIX, "incorrect"
         self.fixed.add((row, column))
-        if not any(f["row"] == row and (f["column"] == column or f["truth"] == WHOLE_ROW) for f in self.found):
-            self.found.append({"row": row, "column": column, "truth": t["column"]})
+        if not any(f["column"] == column or f["truth"] == WHOLE_ROW for f in self.found_in.get(row, ())):
+            self._find(row, column, t["column"])
         return credit + JUSTIFIED * bool(a.get("justification")), "correct" if credit == FIX else "partial"
 
     def score(self) -> float:

@@ -153,7 +153,7 @@ def with_duplicates(df: DataFrame, every: int, at: int, first_new: int) -> tuple
 def episode_table(spark: SparkSession, task: str, seed: int = 42, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(corrupted table, truth) of an audit task, of its own size or of ``rows``; an unknown task is the first."""
     if task == "task_3_integrity_auditor":
-        clean, patterns = clean_orders(spark, clean_products(spark, seed), seed, rows or 250), order_patterns()
+        clean, patterns = trap_rows(clean_orders(spark, clean_products(spark, seed), seed, rows or 250)), order_patterns()
     elif task == "task_2_duplicate_detective":
         clean, patterns = clean_contacts(spark, seed, rows or 120), contact_patterns()
     else:
@@ -177,6 +177,43 @@ def truth_faults(truth: DataFrame, rows: DataFrame, columns: list[str]) -> DataF
     return joined.withColumn("fault", fault).where("fault is not null").drop("_known")
 
 
+def truth_gates(truth: DataFrame, clean: DataFrame, least_total: int = 1, least_fixable: int = 1) -> DataFrame:
+    """(gate, failures) of a generated truth: enough issues and fixable ones, known types, no cell named
+    twice, expected values that aren't empty, totals with a decimal point, and traps (clean rows that only
+    look wrong, which the truth must not name)."""
+    total = F.col("type").isin(*ISSUE_TYPES)
+    money = (F.col("type") == "cross_field") & (F.col("column") == "order_total") & F.col("expected").isNotNull()
+    one = truth.agg(
+        F.greatest(F.lit(least_total) - F.count("*"), F.lit(0)).alias("total"),
+        F.greatest(F.lit(least_fixable) - F.count("expected"), F.lit(0)).alias("fixable"),
+        F.count_if(~total).alias("type"),
+        F.count_if(F.col("expected") == "").alias("expected"),
+        F.count_if(money & ~F.col("expected").contains(".")).alias("decimal"),
+    )
+    twice = truth.groupBy(ROW, "column").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    trapped = traps(clean).join(truth.select(ROW, "column"), [ROW, "column"], "left_semi").agg(F.count("*").alias("trap"))
+    wide = one.crossJoin(twice).crossJoin(trapped)  # three single rows
+    names = [c for c in wide.columns]
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("gate"), F.col(c).cast("bigint").alias("failures")) for c in names))).alias("x")).select("x.*")
+
+
+#: One row in so many is a trap: sound, but close to a limit or of an unusual look.
+TRAP_EVERY, TRAP_AT = 50, 45
+
+
+def trap_rows(orders: DataFrame) -> DataFrame:
+    """Orders whose trap rows look wrong and are sound: shipped on the day of the order, and a total that
+    departs from its formula by less than a rounded cent."""
+    at = F.pmod(F.col(ROW), F.lit(TRAP_EVERY)) == TRAP_AT
+    return orders.withColumns({"ship_date": F.when(at, F.col("order_date")).otherwise(F.col("ship_date")), "order_total": F.when(at, F.format_string("%.2f", F.col("order_total").cast("double") + 0.004)).otherwise(F.col("order_total"))})
+
+
+def traps(clean: DataFrame) -> DataFrame:
+    """(_row, column) of the cells of trap rows."""
+    at = clean.where(F.pmod(F.col(ROW), F.lit(TRAP_EVERY)) == TRAP_AT)
+    return at.select(ROW, F.explode(F.array(F.lit("ship_date"), F.lit("order_total"))).alias("column"))
+
+
 def truth_census(truth: DataFrame) -> DataFrame:
     """By type: issues, those with a known repair and those to be detected only."""
     return truth.groupBy("type").agg(F.count("*").alias("total"), F.count("expected").alias("fixable"), F.count_if(F.col("expected").isNull()).alias("detection_only"))

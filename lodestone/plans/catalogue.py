@@ -722,3 +722,90 @@ def generated_orders(spark, sf_dir):
     from ..operators.generate import episode_table
 
     return episode_table(spark, "task_3_integrity_auditor", rows=table(spark, sf_dir, "orders").count())[0]
+
+
+# Around sessions: what a grader reports, what an agent writes and reads
+
+
+FOUND = "x AS (SELECT user_id AS episode, event_id AS _row, CASE event_id % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE '_row' END AS \"column\", CASE WHEN event_id % 4 <> 0 THEN 'v' END AS expected FROM events), f AS (SELECT user_id AS episode, event_id AS _row, 'email' AS \"column\", CASE WHEN event_id % 10 < 5 THEN 'phone' ELSE 'email' END AS truth_column FROM events WHERE event_type = 'click'), d AS (SELECT user_id AS episode, event_id AS _row FROM events WHERE event_type = 'view')"
+
+
+@query(f"WITH {FOUND} SELECT x.episode, x._row, x.\"column\", expected IS NOT NULL AS fixable, coalesce(f._row IS NOT NULL AND (f.\"column\" = x.\"column\" OR f.truth_column = x.\"column\" OR x.\"column\" = '_row'), false) AS detected, CASE WHEN expected IS NOT NULL THEN d._row IS NOT NULL END AS fixed FROM x LEFT JOIN f ON x.episode = f.episode AND x._row = f._row LEFT JOIN d ON x.episode = d.episode AND x._row = d._row")
+def issue_flags(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    cell = [F.col("user_id").alias("episode"), k.alias(ROW)]
+    truth = e.select(*cell, F.when(k % 3 == 0, "email").when(k % 3 == 1, "phone").otherwise("_row").alias("column"), F.when(k % 4 != 0, "v").alias("expected"))
+    found = e.where("event_type = 'click'").select(*cell, F.lit("email").alias("column"), F.when(k % 10 < 5, "phone").otherwise("email").alias("truth_column"))
+    return audit.issue_flags(truth, found, e.where("event_type = 'view'").select(*cell)).drop("expected")
+
+
+GRADED = "g AS (SELECT user_id AS episode, count(*) FILTER (event_type = 'click')::DOUBLE AS found, count(*) FILTER (event_type = 'view')::DOUBLE AS fixed, 40::DOUBLE AS truths, 30::DOUBLE AS fixable, count(*) FILTER (event_type = 'purchase')::DOUBLE AS fp, count(*)::DOUBLE AS steps FROM events GROUP BY user_id), r AS (SELECT *, found / truths AS dr, fixed / fixable AS fr, CASE WHEN found + fp > 2 * truths THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END AS rate FROM g)"
+
+
+def _clamp_sql(e: str, name: str) -> str:
+    return f"round(least(greatest({e}, 0.0001::DOUBLE), 0.9999::DOUBLE), 4) AS {name}"
+
+
+@query(f"WITH {GRADED} SELECT episode, {_clamp_sql('dr', 'detection_rate')}, {_clamp_sql('fr', 'fix_rate')}, {_clamp_sql('rate', 'fp_penalty_rate')}, {_clamp_sql('fp * rate', 'fp_penalty_total')}, {_clamp_sql('dr * 0.4::DOUBLE + fr * 0.6::DOUBLE - fp * rate', 'raw_score')}, {_clamp_sql('steps / 500', 'step_utilization')}, 10::BIGINT AS detection_only FROM r")
+def grader_diagnostics(spark, sf_dir):
+    of = lambda kind: F.count_if(F.col("event_type") == kind)
+    g = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("episode")).agg(of("click").alias("found"), of("view").alias("fixed"), F.lit(40).cast("bigint").alias("truths"), F.lit(30).cast("bigint").alias("fixable"), of("purchase").alias("false_positives"), F.count("*").alias("steps"), F.count("*").alias("inspected"))
+    return audit.grader_diagnostics(g, 1000, 500).select("episode", "detection_rate", "fix_rate", "fp_penalty_rate", "fp_penalty_total", "raw_score", "step_utilization", "detection_only")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k, o_orderkey % 6 AS m FROM orders)
+  SELECT k AS o_orderkey, CASE m WHEN 0 THEN 'diagnose' WHEN 1 THEN 'fix' WHEN 2 THEN 'inspect' WHEN 3 THEN 'finalize' ELSE 'inspect' END AS action_type,
+  CASE WHEN m IN (0, 1) THEN k END AS row_index, CASE m WHEN 0 THEN CASE WHEN k % 4 = 0 THEN 'format_error' WHEN k % 4 = 1 THEN 'near_duplicate' WHEN k % 4 = 2 THEN 'outlier' ELSE 'format_error' END END AS issue_type,
+  CASE m WHEN 1 THEN CASE WHEN k % 5 = 0 THEN 'delete_row' ELSE 'correct_value' END END AS fix_type, CASE m WHEN 1 THEN 'v' || k END AS new_value,
+  CASE m WHEN 2 THEN '1,2' WHEN 4 THEN '0,1,2,3,4' END AS row_indices, m <> 4 AS readable FROM k""")
+def parsed_actions(spark, sf_dir):
+    from ..operators import agents
+
+    k = F.col("o_orderkey")
+    issue = F.when(k % 4 == 0, "format").when(k % 4 == 1, "Near-Duplicate").when(k % 4 == 2, "an outlier here").otherwise("strange")
+    text = (
+        F.when(k % 6 == 0, F.format_string('{"action_type": "Report", "row_index": "%d", "column_name": "c", "issue_type": "%s", "new_value": "x"}', k, issue))
+        .when(k % 6 == 1, F.format_string('I would {"action_type": "repair", "row_index": %d, "column_name": "a } b", "fix_type": "%s", "new_value": "v%d"} so.', k, F.when(k % 5 == 0, "delete row").otherwise("magic"), k))
+        .when(k % 6 == 2, F.lit('{"action_type": "look", "row_indices": [1, "2"], "row_index": 4}'))
+        .when(k % 6 == 3, F.lit('{{broken {"action_type": "submit"}'))
+        .when(k % 6 == 4, F.lit("no object at all"))
+        .otherwise(F.lit('{"action_type": "dance"}'))
+    )
+    got = agents.parse_actions(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text")
+    return got.select("o_orderkey", "action_type", "row_index", "issue_type", "fix_type", "new_value", F.array_join(F.col("row_indices").cast("array<string>"), ",").alias("row_indices"), "readable")
+
+
+@query("SELECT p_partkey, p_partkey AS row, 'size' AS \"column\", 'v' || p_size AS new_value, CASE WHEN p_partkey % 2 = 0 THEN 'said' ELSE 'LLM repair' END AS reason FROM part UNION ALL SELECT p_partkey, 7, 'b', '', 'LLM repair' FROM part WHERE p_partkey % 3 = 0")
+def payload_repairs(spark, sf_dir):
+    from ..functions.text import first_json_object
+    from ..operators import agents
+
+    k = F.col("p_partkey")
+    first = F.format_string('{"row": %d, "column": "size", "new_value": "v%d"%s}', k, "p_size", F.when(k % 2 == 0, ', "reason": "said"').otherwise(""))
+    more = F.when(k % 3 == 0, ', {"row": 7, "column": "b", "new_value": ""}').when(k % 3 == 1, ', {"row": "7", "column": "b", "new_value": "x"}, 5').otherwise(', {"row": 1, "column": "b", "new_value": 3}')
+    text = F.concat(F.lit('Here {it is}: ```json\n{"repairs": ['), first, more, F.lit("]}\n``` done"))
+    replies = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    return agents.payload_repairs(replies, "text", first_json_object(F.col("text")))
+
+
+@query("""WITH m AS (SELECT *, 4 + length(coalesce(text, '')) // 4 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+  s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id) AS total, sum(cost) OVER (PARTITION BY conv_id ORDER BY back) AS since, max(CASE WHEN back = n THEN cost - 4 END) OVER (PARTITION BY conv_id) AS head FROM m),
+  k AS (SELECT *, total <= 150 OR n <= 9 OR back <= 4 OR back = n OR since <= 150 - head - 100 AS kept FROM s),
+  d AS (SELECT *, count(*) FILTER (NOT kept) OVER (PARTITION BY conv_id) AS dropped FROM k) SELECT conv_id, turn, dropped FROM d WHERE kept""")
+def truncated_conversations(spark, sf_dir):
+    from ..operators import agents
+
+    return agents.truncated(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 200).select("conv_id", "turn", "dropped")
+
+
+@query()
+def heuristic_audit(spark, sf_dir):
+    """An audit by rules of a generated table of as many rows as there are orders, end to end."""
+    from ..operators.generate import episode_table
+
+    dirty, planted = episode_table(spark, "task_3_integrity_auditor", rows=table(spark, sf_dir, "orders").count())
+    limits = rules.BusinessRules(50, 1, 100, 0.01, (2020, 2024))
+    broken = rules.broken(dirty, rules.null_checks(detect.cells(dirty)) + rules.cross_field_checks() + rules.business_checks(limits))
+    rows = dirty.count()
+    acts = audit.heuristic_actions(broken, rows, rows, "order_id", ("products", "business_rules"))
+    return audit.replay(acts, planted.select(ROW, "column", "type", "expected", "ord"), rows, rows)
