@@ -14,13 +14,14 @@ EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z]{2,}$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 SENTINELS = ("n/a", "na", "null", "none", "nan", "not available", "unknown", "-", "")
 
-_BLANKS = r"[\s\p{Z}\x1c-\x1f\x85]+"
+#: White space of any script: control characters, and the separators of Unicode.
+_BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any script, not only spaces."""
-    return F.regexp_replace(c, f"^{_BLANKS}|{_BLANKS}$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def classify(c: Column) -> Column:

@@ -46,14 +46,16 @@ def column_statistics(df: DataFrame, columns: list[str], approximate: bool = Fal
     if not columns:
         return {}
     value = {c: to_double(F.col(f"`{c}`")) for c in columns}
-    exprs = []
+    parsed, exprs = [], []
     for i, c in enumerate(columns):
-        kind = F.when(~is_blank(F.col(f"`{c}`")), classify(F.col(f"`{c}`")))
-        exprs += [F.count_if(kind == k).alias(f"{k}{i}") for k in CLASSES]
+        # each cell is classified and parsed once, ahead of the aggregates that read it
+        parsed.append(F.when(~is_blank(F.col(f"`{c}`")), classify(F.col(f"`{c}`"))).alias(f"kind{i}"))
+        exprs += [F.count_if(F.col(f"kind{i}") == k).alias(f"{k}{i}") for k in CLASSES]
         if medians:
-            exprs += [F.count(value[c]).alias(f"n{i}"), F.count_if(F.isnan(value[c])).alias(f"nan{i}")]
-            exprs += [F.percentile_approx(value[c], 0.5, 10_000).alias(f"median{i}")] * approximate
-    got = df.agg(*exprs).first()
+            parsed.append(value[c].alias(f"value{i}"))
+            exprs += [F.count(f"value{i}").alias(f"n{i}"), F.count_if(F.isnan(f"value{i}")).alias(f"nan{i}")]
+            exprs += [F.percentile_approx(f"value{i}", 0.5, 10_000).alias(f"median{i}")] * approximate
+    got = df.select(*parsed).agg(*exprs).first()
     out = {c: {k: got[f"{k}{i}"] for k in CLASSES} for i, c in enumerate(columns)}
     if medians:
         numeric = {c: value[c] for i, c in enumerate(columns) if got[f"n{i}"] >= LEAST_NUMERIC and not got[f"nan{i}"]}

@@ -47,15 +47,15 @@ PREDICATES: dict[str, Callable[[Schema | None], Column]] = {
 BATCH_PREDICATES: dict[str, Callable[[DataFrame], DataFrame]] = {"conflicting_cell_writes": lambda fixes: conflicting_writes(fixes)}
 SCORERS: dict[str, Callable[[], Column]] = {"minimal_edit_distance": lambda: F.levenshtein("old_value", "new_value")}
 
-# The default policy.
+# The default policy's ids, predicates and flags.
 DEFAULT = {
     "hard_never": [
-        {"id": "NO_PII_OVERWRITE", "description": "Columns tagged as PII cannot be modified unless the operator explicitly allows and confirms it.", "predicate": "pii_overwrite", "override_flag": "allow_pii", "confirm_flag": "confirm_pii"},
-        {"id": "NO_ROW_DELETE", "description": "Candidate fixes may not delete rows; only cell updates are allowed.", "predicate": "row_delete"},
-        {"id": "NO_CONFLICTING_CELL_WRITES", "description": "Multiple accepted fixes may not target the same cell with different replacement values.", "predicate": "conflicting_cell_writes", "scope": "batch"},
+        {"id": "NO_PII_OVERWRITE", "description": "Personal columns stay as they are, unless a change is both allowed and confirmed.", "predicate": "pii_overwrite", "override_flag": "allow_pii", "confirm_flag": "confirm_pii"},
+        {"id": "NO_ROW_DELETE", "description": "Fixes change cells; they never remove rows.", "predicate": "row_delete"},
+        {"id": "NO_CONFLICTING_CELL_WRITES", "description": "Two fixes of a batch must not give one cell different values.", "predicate": "conflicting_cell_writes", "scope": "batch"},
     ],
-    "soft_require_confirm": [{"id": "NO_AGGREGATE_BREAK", "description": "Candidate fixes to aggregate-sensitive source columns require confirmation.", "predicate": "aggregate_sensitive", "confirm_flag": "confirm_escalations"}],
-    "soft_prefer": [{"id": "MINIMAL_EDIT", "description": "Prefer the smallest edit distance when multiple candidates are otherwise viable.", "scorer": "minimal_edit_distance"}],
+    "soft_require_confirm": [{"id": "NO_AGGREGATE_BREAK", "description": "A column that feeds an aggregate is changed only after confirmation.", "predicate": "aggregate_sensitive", "confirm_flag": "confirm_escalations"}],
+    "soft_prefer": [{"id": "MINIMAL_EDIT", "description": "Of several sound fixes the one of fewest edits is taken.", "scorer": "minimal_edit_distance"}],
 }
 
 

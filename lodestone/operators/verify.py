@@ -111,7 +111,7 @@ def verify(df: DataFrame, fixes: DataFrame, schema: Schema | None) -> DataFrame:
 
 
 def explain(core: Column) -> Column:
-    """The labels of a core as sentences."""
+    """The labels of a core as sentences (fixed values: their wording)."""
 
     def said(label: Column) -> Column:
         p = F.split(label, "::")
