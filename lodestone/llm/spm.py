@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Recent, map_arrow
 
 MARK = "▁"
-CACHE_WORDS, CACHE_PAIRS = 200_000, 300_000
+CACHE_WORDS, CACHE_PAIRS = 400_000, 300_000
 #: Longer words are merged with a heap.
 SHORT = 24
 UNKNOWN_PENALTY = 10.0
@@ -66,14 +66,20 @@ class Model:
         self.floor = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         inner = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if not inner else r"(?s).+")
-        self.endings: dict = {}
+        self.endings = self._reversed_trie()
+        self.data = {p: int(i).to_bytes(4, "little") for p, (i, _) in self.pieces.items()}
+        self.forget()
+
+    def _reversed_trie(self) -> dict[str, tuple[dict, str | None]]:
+        """Last letter -> what may stand before it, and the piece that starts there, and so on backwards."""
+        grown: dict = {}
         for piece in self.pieces:
-            node = self.endings
+            node = grown
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = piece
-        self.data = {p: int(i).to_bytes(4, "little") for p, (i, _) in self.pieces.items()}
-        self.forget()
+        fixed = lambda node: {c: (fixed(below), below.get("")) for c, below in node.items() if c}
+        return fixed(grown)
 
     def forget(self) -> None:
         """Empty the caches, which hold what one task met."""
@@ -139,19 +145,17 @@ class Model:
         """
         root, pairs, fits = self.endings, self.pairs, self.fits
         for j in range(len(states), len(word) + 1):
-            node, i, found = root, j, None
+            before, i, found = root, j, None
             while i:
                 i -= 1
-                node = node.get(word[i])
-                if node is None:
+                below = before.get(word[i])
+                if below is None:
                     break
-                t = node.get("")
+                before, t = below
                 if t is not None:
-                    left = states[i][1]
-                    ok = pairs.get((left, t))
-                    if ok is None:
-                        ok = fits(left, t)
-                    if ok:
+                    pair = states[i][1], t
+                    ok = pairs.get(pair)
+                    if ok or (ok is None and fits(*pair)):
                         found = (i, t, 0.0)
                         break
             states.append(found or (j - 1, "", 0.0))
@@ -181,7 +185,7 @@ class Model:
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The words' ids; those that aren't cached are encoded in the order of their trie."""
         got = {w: self.known.find(w) for w in words}
-        extend = self._extend_bpe if self.bpe else self._extend_unigram
+        extend, data = self._extend_bpe if self.bpe else self._extend_unigram, self.data
         states, last = [(0, "", 0.0)], ""
         for word in sorted(w for w, ids in got.items() if ids is None):
             if self.bpe and word.startswith(MARK * 2):  # runs of marks may tie in score
@@ -192,12 +196,19 @@ class Model:
                     shared += 1
                 del states[shared + 1 :]
                 extend(word, states)
-                last, j, pieces = word, len(word), []
+                last, j, parts = word, len(word), []
                 while j:
                     i, piece, _ = states[j]
-                    pieces.append((piece, word[i:j]))
+                    parts.append(piece)
                     j = i
-                got[word] = self._ids(pieces[::-1])
+                if "" in parts:  # letters without a piece
+                    j, pieces = 0, []
+                    for piece in parts[::-1]:
+                        pieces.append((piece, piece or word[j]))
+                        j += len(piece) or 1
+                    got[word] = self._ids(pieces)
+                else:
+                    got[word] = b"".join([data[p] for p in parts[::-1]])
             if len(word) <= Recent.LONGEST:
                 self.known.put(word, got[word])
         return got

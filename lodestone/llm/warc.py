@@ -43,7 +43,7 @@ DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("7b1f6a2e-1f5f-4b6e-9a4b-0e4a5d1c9c11")
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 MANIFEST = "MANIFEST.json"
-SHARD_BYTES, MOST_SHARDS = 32 << 20, 100_000
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
