@@ -30,6 +30,16 @@ def profile(args) -> int:
     return int(detect.has_unsafe(issues).first()["unsafe"])
 
 
+def _confirmed(tried):
+    """The escalated fixes that verify and that the operator, asked one by one, lets pass."""
+    open_ = tried.where("status = 'escalated' and verification = 'ACCEPT'")
+    yes = [(r["_row"], r["column"]) for r in open_.orderBy("_row", "column").toLocalIterator() if input(f"row {r['_row']}, {r['column']}: '{r['old_value']}' -> '{r['new_value']}' ({r['rule_id']}). Apply? [y/N] ").strip().lower() in ("y", "yes")]
+    if not yes:
+        return tried.limit(0)
+    chosen = tried.sparkSession.createDataFrame(yes, "_row bigint, column string")
+    return open_.join(chosen, ["_row", "column"], "left_semi").select(*tried.columns)
+
+
 def repair(args) -> int:
     """Exit 0 if any fix passes, else 1; with --apply the accepted fixes are written under the journal."""
     if args.dry_run == args.apply:
@@ -40,6 +50,8 @@ def repair(args) -> int:
     table = tables.read_csv(spark, args.path)
     tried = apply.attempts(table, detect.detect_all(table, schema), schema, context).cache()
     fixes = tried.where("status = 'accepted'")
+    if args.interactive:
+        fixes = fixes.unionAll(_confirmed(tried))
     _print(report.diff_lines(fixes))
     _print(report.attempt_lines(tried))
     if policy.evaluate_batch(fixes)[0] == "DENY" or not fixes.take(1):
@@ -77,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     p.set_defaults(run=profile)
     r = sub.add_parser("repair")
     r.set_defaults(run=repair)
-    for flag in ("--dry-run", "--apply", "--allow-pii", "--confirm-pii", "--confirm-escalations"):
+    for flag in ("--dry-run", "--apply", "--allow-pii", "--confirm-pii", "--confirm-escalations", "--interactive"):
         r.add_argument(flag, action="store_true")
     for x in (p, r):
         x.add_argument("path")

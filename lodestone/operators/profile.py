@@ -51,6 +51,11 @@ def rows_at(df: DataFrame, indices: list[int], most: int = 10) -> DataFrame:
     return df.where(F.col(ROW).isin(indices[:most]))
 
 
+def seeded_sample(df: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
+    """The same ``n`` rows for the same seed, by hash, in row order; all rows if there are fewer."""
+    return df.orderBy(F.xxhash64(ROW, F.lit(seed)), ROW).limit(n).orderBy(ROW)
+
+
 def bench_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, non_empty_count, unique_count, median) with the exact median of the parsed numbers."""
     columns = columns or cells(df)
