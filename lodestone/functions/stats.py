@@ -23,14 +23,45 @@ def exact_mean(value: Column, digits: int = 4, weight: Column | None = None) ->
     return F.coalesce(F.round(mean, digits).cast("double"), F.round(floating, digits))
 
 
-def exact_medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:
-    """The exact median of each column of numbers, which hold no NaN; None for an empty one.
+def sketched_middle(value: Column) -> Column:
+    """Two values that most likely enclose the median, as an aggregate."""
+    return F.percentile_approx(value, [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY], ACCURACY)
+
+
+def medians_within(df: DataFrame, values: dict[str, Column], known: dict[str, tuple[int, float, float]]) -> dict[str, float]:
+    """The exact medians that lie within known bounds (number of values, low, high): one pass counts the
+    values within by value, and those below as one. Medians that lie elsewhere are left out, as are
+    columns of so many values that too many might lie within."""
+    tried = [c for c, (n, *_) in known.items() if n and n * 4 / ACCURACY <= MOST_LISTED]
+    if not tried:
+        return {}
+    rows = df.select(*(values[c].cast("double").alias(f"v{i}") for i, c in enumerate(tried)))
+
+    def cell(i: int, low: float, high: float) -> Column:
+        v = F.col(f"v{i}")
+        return F.when(v <= high, F.struct(F.lit(i).alias("i"), F.when(v >= low, v).alias("v")))
+
+    cells = F.array(*(cell(i, *known[c][1:]) for i, c in enumerate(tried)))
+    counts = rows.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
+    at, found = [0] * len(tried), [[] for _ in tried]
+    for r in counts.orderBy("i", F.asc_nulls_first("v")).toLocalIterator():
+        i, n = r["i"], known[tried[r["i"]]][0]
+        if r["v"] is not None:
+            found[i] += [r["v"]] * sum(at[i] <= k < at[i] + r["n"] for k in ((n - 1) // 2, n // 2))
+        at[i] += r["n"]
+    return {c: sum(m) / 2 for c, m in zip(tried, found, strict=True) if len(m) == 2}
+
+
+def exact_medians(df: DataFrame, values: dict[str, Column], known: dict[str, tuple[int, float, float]] | None = None) -> dict[str, float | None]:
+    """The exact median of each column of numbers, which hold no NaN; None for an empty one. ``known``
+    gives bounds that an earlier pass has sketched, as for ``medians_within``.
 
     A pass sketches two bounds around each median whose range still holds many values, and the next
     counts what lies below and within, so a pass leaves about 1 in 2,500. Bounds that miss the median
     are taken back. What lies within is then counted by value and read in order.
     """
-    names = list(values)
+    done = medians_within(df, values, known) if known else {}
+    names = [c for c in values if c not in done]
     rows = df.select(*(values[c].cast("double").alias(f"v{i}") for i, c in enumerate(names)))
     bounds = {i: (float("-inf"), float("inf")) for i in range(len(names))}
     last, settled, total = dict(bounds), set(), {}
@@ -62,4 +93,4 @@ def exact_medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float |
             i = r["i"]
             found[i] += [r["v"]] * sum(at[i] <= k < at[i] + r["n"] for k in ((total[i] - 1) // 2, total[i] // 2))
             at[i] += r["n"]
-    return {c: sum(found[i]) / 2 if found.get(i) else None for i, c in enumerate(names)}
+    return done | {c: sum(found[i]) / 2 if found.get(i) else None for i, c in enumerate(names)}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import Schema
-from ..functions.stats import exact_medians
+from ..functions.stats import exact_medians, sketched_middle
 from ..functions.text import classify, general, half_even, is_blank, quoted, strip, to_double
 
 ROW = "_row"
@@ -54,12 +54,12 @@ def column_statistics(df: DataFrame, columns: list[str], approximate: bool = Fal
         if medians:
             parsed.append(value[c].alias(f"value{i}"))
             exprs += [F.count(f"value{i}").alias(f"n{i}"), F.count_if(F.isnan(f"value{i}")).alias(f"nan{i}")]
-            exprs += [F.percentile_approx(f"value{i}", 0.5, 10_000).alias(f"median{i}")] * approximate
+            exprs.append(F.percentile_approx(f"value{i}", 0.5, 10_000).alias(f"median{i}") if approximate else sketched_middle(F.col(f"value{i}")).alias(f"bounds{i}"))
     got = df.select(*parsed).agg(*exprs).first()
     out = {c: {k: got[f"{k}{i}"] for k in CLASSES} for i, c in enumerate(columns)}
     if medians:
         numeric = {c: value[c] for i, c in enumerate(columns) if got[f"n{i}"] >= LEAST_NUMERIC and not got[f"nan{i}"]}
-        middle = {c: got[f"median{columns.index(c)}"] for c in numeric} if approximate else exact_medians(df, numeric)
+        middle = {c: got[f"median{columns.index(c)}"] for c in numeric} if approximate else exact_medians(df, numeric, {c: (got[f"n{(i := columns.index(c))}"], *got[f"bounds{i}"]) for c in numeric})
         out = {c: out[c] | {"n": got[f"n{i}"], "median": middle.get(c)} for i, c in enumerate(columns)}
     return out
 

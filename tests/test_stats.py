@@ -21,7 +21,14 @@ def test_medians_are_exact(spark, monkeypatch, listed):
     rows = [(c, float(v)) for c, vs in columns.items() for v in vs]
     df = spark.createDataFrame(rows, "c string, v double").repartition(4)
     got = stats.exact_medians(df, {c: F.when(F.col("c") == c, F.col("v")) for c in columns})
-    assert got == {c: statistics.median(v) if v else None for c, v in columns.items()}
+    want = {c: statistics.median(v) if v else None for c, v in columns.items()}
+    assert got == want
+    value = {c: F.when(F.col("c") == c, F.col("v")) for c in columns}
+    sketch = df.agg(*(stats.sketched_middle(v).alias(c) for c, v in value.items())).first()
+    known = {c: (len(v), *sketch[c]) for c, v in columns.items() if v}
+    assert stats.exact_medians(df, value, known) == want
+    wrong = {c: (n, low - 1000, low - 500) for c, (n, low, _) in known.items()}
+    assert stats.medians_within(df, value, wrong) == {} and stats.exact_medians(df, value, wrong) == want
 
 
 def test_means_do_not_depend_on_order(spark):
