@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from .generate import ISSUE_TYPES
 
-# Kinds of actions and the fields of each, other names of kinds, kinds of fixes.
+# Kinds of actions and the fields of each, other names of kinds, kinds of fixes, defaults,
+# and the shares and sizes by which a context is cut.
 FIELDS = {
     "inspect": ("row_indices", "column_names", "related_table", "metadata"),
     "diagnose": ("row_index", "column_name", "issue_type", "related_table", "metadata"),
@@ -26,7 +27,7 @@ KINDS = {
     "finalize": ("complete", "done", "finish", "end", "submit"),
 }
 FIX_TYPES = ("correct_value", "delete_row", "impute", "standardize")
-DEFAULT_ROWS, DEFAULT_ISSUE, DEFAULT_FIX = (0, 1, 2, 3, 4), "format_error", "correct_value"
+DEFAULT_ROWS, DEFAULT_ISSUE, DEFAULT_FIX, DEFAULT_REASON = (0, 1, 2, 3, 4), "format_error", "correct_value", "LLM repair"
 BUDGET_SHARE, OVERHEAD, NOTE_TOKENS, WIDE_CONTEXT, KEPT_ALWAYS = 0.75, 4, 100, 32_000, 9
 
 
@@ -100,7 +101,7 @@ def payload_repairs(replies: DataFrame, text: str, first_object: Column) -> Data
     typed = lambda k: F.schema_of_variant(part(k, "variant"))
     sound = (typed("row") == "BIGINT") & (typed("column") == "STRING") & (typed("new_value") == "STRING")
     rest = [c for c in replies.columns if c != text]
-    return listed.where(sound).select(*rest, part("row", "bigint").alias("row"), part("column", "string").alias("column"), part("new_value", "string").alias("new_value"), F.coalesce(part("reason", "string"), F.lit("LLM repair")).alias("reason"))
+    return listed.where(sound).select(*rest, part("row", "bigint").alias("row"), part("column", "string").alias("column"), part("new_value", "string").alias("new_value"), F.coalesce(part("reason", "string"), F.lit(DEFAULT_REASON)).alias("reason"))
 
 
 def tokens(c: Column) -> Column:
