@@ -6,9 +6,12 @@ import math
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from .detect import ROW
 
@@ -22,6 +25,9 @@ DETECTION_WEIGHT, FIX_WEIGHT, FALSE_POSITIVE_RATE = 0.40, 0.60, 0.05
 LATE_SHARE, CLOSE, SIMILAR = 0.8, 0.01, 0.85
 STEPS = {"task_1_format_fixer": 30, "task_2_duplicate_detective": 50, "task_3_integrity_auditor": 65}
 
+#: Sessions of more steps are replayed by blocks of so many.
+SHORT, BLOCK = 1000, 2048
+
 EPISODE = "episode bigint, step int, result string, delta double, cumulative double, found int, fixed int, false_positives int, done boolean"
 
 
@@ -97,23 +103,37 @@ def issue_flags(truth: DataFrame, found: DataFrame, fixed: DataFrame) -> DataFra
 def heuristic_actions(issues: DataFrame, rows: int, most_steps: int, first_column: str, related: tuple[str, ...] = ()) -> DataFrame:
     """The actions of an audit by rules, one session: inspect all rows by tens and the ``related`` tables,
     then for each cell's surest issue (_row, column, type, fix, confidence, emit_ord) a diagnosis and, where
-    a fix is known, the fix, surest first, and finish. Actions beyond the budget aren't made."""
+    a fix is known, the fix, surest first, and finish. Actions beyond the budget aren't made.
+
+    A step's number is the steps of all surer issues: those of earlier ranges of the order are one sum a
+    range, those of its own range one window. So a session may have as many steps as its table has rows.
+    """
     from .rules import best_confidence
 
     spark, batches = issues.sparkSession, -(-rows // 10)
-    looks = [(i + 1, list(range(10 * i, min(10 * i + 10, rows))), None) for i in range(min(batches, most_steps))] + [(batches + 1 + i, [0], t) for i, t in enumerate(related) if batches + i < most_steps]
-    seen = len(looks)
-    look = spark.createDataFrame(looks, "step int, rows array<bigint>, `table` string").select("step", F.lit("inspect").alias("action_type"), "rows", "table")
-    top = best_confidence(issues).orderBy(F.desc("confidence"), "emit_ord", ROW, "column").limit(max(0, most_steps - seen))
-    order = Window.orderBy(F.desc("confidence"), "emit_ord", ROW, "column")  # at most a session's steps
-    cost = F.when(F.coalesce(F.col("fix"), F.lit("")) != "", 2).otherwise(1)
-    placed = top.withColumn("cost", cost).withColumn("before", F.sum("cost").over(order) - F.col("cost") + seen)
+    looks, tables = min(batches, most_steps), related[: max(0, most_steps - batches)]
+    seen, i = looks + len(tables), F.col("id")
+    inspect = lambda step, listed, name: (step.cast("int").alias("step"), F.lit("inspect").alias("action_type"), listed.alias("rows"), name.cast("string").alias("table"))
+    look = spark.range(looks).select(*inspect(i + 1, F.sequence(10 * i, F.least(10 * i + 9, F.lit(rows - 1))), F.lit(None)))
+    if tables:
+        name = F.element_at(F.array(*map(F.lit, tables)), (i + 1).cast("int"))
+        look = look.unionByName(spark.range(len(tables)).select(*inspect(batches + 1 + i, F.array(F.lit(0).cast("bigint")), name)))
+    order = [F.desc("confidence"), F.asc("emit_ord"), F.asc(ROW), F.asc("column")]
+    cost = F.when(F.coalesce(F.col("fix"), F.lit("")) != "", 2).otherwise(1).cast("bigint")
+    best = best_confidence(issues).select(ROW, "column", "type", "fix", "confidence", "emit_ord", cost.alias("cost")).persist(StorageLevel.DISK_ONLY)  # sampled for its ranges first
+    cut = best.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sums = cut.groupBy("part").agg(F.sum("cost").alias("sum"))
+    starts = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum") + seen).alias("start"))  # a row a range
+    placed = cut.join(starts, "part").withColumn("before", F.col("start") + F.sum("cost").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost"))
     column = F.when(F.col("column") == WHOLE_ROW, first_column).otherwise(F.col("column"))
-    gone = F.col("fix") == "DELETE_ROW"
-    diagnose = placed.select((F.col("before") + 1).cast("int").alias("step"), F.lit("diagnose").alias("action_type"), F.col(ROW), column.alias("column"), F.col("type").alias("issue_type"))
-    fix = placed.where("cost = 2").select((F.col("before") + 2).cast("int").alias("step"), F.lit("fix").alias("action_type"), F.col(ROW), column.alias("column"), F.when(~gone, F.col("fix")).alias("new_value"), F.when(gone, "delete_row").otherwise("correct_value").alias("fix_type"), F.lit("by rule").alias("justification"))
-    end = placed.agg((F.coalesce(F.max(F.col("before") + F.col("cost")), F.lit(seen)) + 1).cast("int").alias("step")).withColumn("action_type", F.lit("finalize"))
-    every = look.unionByName(diagnose, True).unionByName(fix, True).unionByName(end, True).where(F.col("step") <= most_steps)
+    gone, none = F.col("fix") == "DELETE_ROW", F.lit(None).cast("string")
+    made = lambda at, kind, *rest: F.struct((F.col("before") + at).alias("step"), F.lit(kind).alias("action_type"), *(c.alias(n) for n, c in zip(("issue_type", "new_value", "fix_type", "justification"), rest, strict=True)))
+    diagnose = made(1, "diagnose", F.col("type"), none, none, none)
+    fix = made(2, "fix", none, F.when(~gone, F.col("fix")), F.when(gone, "delete_row").otherwise("correct_value"), F.lit("by rule"))
+    acts = placed.select(ROW, column.alias("column"), F.explode(F.when(F.col("cost") == 2, F.array(diagnose, fix)).otherwise(F.array(diagnose))).alias("x")).select("x.*", ROW, "column")
+    end = sums.agg((F.coalesce(F.sum("sum"), F.lit(0)) + seen + 1).alias("step")).withColumn("action_type", F.lit("finalize"))
+    within = [df.where(F.col("step") <= most_steps).withColumn("step", F.col("step").cast("int")) for df in (acts, end)]
+    every = look.unionByName(within[0].select("step", "action_type", ROW, "column", "issue_type", "new_value", "fix_type", "justification"), True).unionByName(within[1], True)
     return every.withColumn("episode", F.lit(0).cast("bigint"))
 
 
@@ -197,6 +217,27 @@ def sanitize_keys(actions: DataFrame) -> DataFrame:
     return actions.select(*(F.col(c).alias(ALIASES.get(c, c)) for c in actions.columns))
 
 
+def credit_of(provided: str, expected: str) -> float:
+    """What a fix is worth: equal, or near as a number or as a text."""
+    if provided.lower() == expected.lower():
+        return FIX
+    try:
+        p, e = float(provided), float(expected)
+        if abs(p - e) / (abs(e) or 1.0) < CLOSE:
+            return PARTIAL_FIX
+    except ValueError:
+        pass
+    return PARTIAL_FIX if SequenceMatcher(None, provided.lower(), expected.lower()).ratio() >= SIMILAR else 0.0
+
+
+def score_of(found: int, fixed: int, false_positives: int, truths: int, fixable: int) -> float:
+    if not truths:
+        return LEAST_SCORE
+    rate = FALSE_POSITIVE_RATE * (2 if found + false_positives > 2 * truths else 1)
+    raw = DETECTION_WEIGHT * found / truths + FIX_WEIGHT * (fixed / fixable if fixable else 0.0) - false_positives * rate
+    return round(max(LEAST_SCORE, min(MOST_SCORE, raw)), 4)
+
+
 @dataclass
 class Session:
     """One session's state; ``act`` plays an action. ``truth`` may hold only the issues on the rows that
@@ -253,17 +294,6 @@ class Session:
         self._find(row, column, t["column"])
         return DIAGNOSE + TYPE_BONUS * (a.get("issue_type") is not None and a["issue_type"] == t["type"]), "correct"
 
-    def _credit(self, provided: str, expected: str) -> float:
-        if provided.lower() == expected.lower():
-            return FIX
-        try:
-            p, e = float(provided), float(expected)
-            if abs(p - e) / (abs(e) or 1.0) < CLOSE:
-                return PARTIAL_FIX
-        except ValueError:
-            pass
-        return PARTIAL_FIX if SequenceMatcher(None, provided.lower(), expected.lower()).ratio() >= SIMILAR else 0.0
-
     def _fix(self, a: dict) -> tuple[float, str]:
         row, column, deletes = a.get("row"), a.get("column"), a.get("fix_type") == "delete_row"
         if row is None or column is None or (not deletes and a.get("new_value") is None) or not 0 <= row < self.rows:
@@ -278,7 +308,7 @@ class Session:
         if t["expected"] == "DELETE_ROW":
             credit = FIX if deletes else 0.0
         else:
-            credit = self._credit(str(a.get("new_value")).strip(), str(t["expected"]))
+            credit = credit_of(str(a.get("new_value")).strip(), str(t["expected"]))
         if not credit:
             return WRONG_FIX, "incorrect"
         self.fixed.add((row, column))
@@ -287,12 +317,7 @@ class Session:
         return credit + JUSTIFIED * bool(a.get("justification")), "correct" if credit == FIX else "partial"
 
     def score(self) -> float:
-        truths, fixable = self.truths, self.fixable
-        if not truths:
-            return LEAST_SCORE
-        rate = FALSE_POSITIVE_RATE * (2 if len(self.found) + self.false_positives > 2 * truths else 1)
-        raw = DETECTION_WEIGHT * len(self.found) / truths + FIX_WEIGHT * (len(self.fixed) / fixable if fixable else 0.0) - self.false_positives * rate
-        return round(max(LEAST_SCORE, min(MOST_SCORE, raw)), 4)
+        return score_of(len(self.found), len(self.fixed), self.false_positives, self.truths, self.fixable)
 
     def act(self, a: dict) -> tuple[str, float, float]:
         """(result, delta, total) of an action; both numbers lie strictly between 0 and 1."""
@@ -316,8 +341,11 @@ def replay(actions: DataFrame, truth: DataFrame, rows: int, most_steps: int) ->
 
     A session ends after ``most_steps`` actions, so only its first ones are read and its fold is one
     small group. It meets the issues on the rows that it touches alone, which join it by row; their
-    total number and that of the fixable ones are two counts.
+    total number and that of the fixable ones are two counts. Sessions that may have more than SHORT
+    steps are replayed by ``replay_long``.
     """
+    if most_steps > SHORT:
+        return replay_long(actions, truth, rows, most_steps)
     first = actions.withColumn("_n", F.row_number().over(Window.partitionBy("episode").orderBy("step"))).where(F.col("_n") <= most_steps).drop("_n")
     asked = F.col("rows") if "rows" in actions.columns else F.lit(None).cast("array<bigint>")
     start = F.when((F.col("action_type") == "inspect") & asked.isNull(), F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))
@@ -342,6 +370,153 @@ def replay(actions: DataFrame, truth: DataFrame, rows: int, most_steps: int) ->
     return first.groupBy("episode").cogroup(near.groupBy("session")).applyInPandas(fold, EPISODE)
 
 
+@F.pandas_udf(T.DoubleType())
+def credits(provided: pd.Series, expected: pd.Series) -> pd.Series:
+    return pd.Series([0.0 if e is None else credit_of(p.strip(), e) for p, e in zip(provided, expected, strict=True)], dtype=float)
+
+
+def _numbered(actions: DataFrame, most_steps: int) -> DataFrame:
+    """The actions that are played, with ``n``, their number in the session: by blocks of steps, whose
+    sizes are summed first."""
+    raw, last = actions.withColumn("_b", F.floor(F.col("step") / BLOCK)), F.col("action_type") == "finalize"
+    earlier = Window.partitionBy("episode").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    spans = raw.groupBy("episode", "_b").agg(F.count("*").alias("size"), F.max(last).alias("ends"))
+    spans = spans.select("episode", "_b", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.max("ends").over(earlier), F.lit(False)).alias("over"))
+    block = Window.partitionBy("episode", "_b")
+    n = F.col("before") + F.row_number().over(block.orderBy("step"))
+    placed = raw.join(spans.where(~F.col("over") & (F.col("before") < most_steps)), ["episode", "_b"]).withColumn("n", n).where(F.col("n") <= most_steps)
+    placed = placed.withColumn("_end", F.min(F.when(last, F.col("n"))).over(block))
+    return placed.where(F.col("_end").isNull() | (F.col("n") <= F.col("_end"))).drop("_b", "before", "over", "_end")
+
+
+def _outcomes(acts: DataFrame, truth: DataFrame, rows: int) -> DataFrame:
+    """(episode, step, n, result, base, new, near, found, fixed, wrong) of numbered actions: what each does
+    to its rows, which no other row's history changes. ``base`` is its reward but for inspections, of which
+    ``new`` and ``near`` count the rows not seen before and the unfound issues there.
+
+    A row's history is known by a few first times: when it is first seen, when a cell is first named or
+    fixed, and when an issue of the whole row is. An action's result follows from its place among them.
+    """
+    kind, n, whole = F.col("action_type"), F.col("n"), F.col("t.column") == WHOLE_ROW
+    deletes = F.coalesce(F.col("fix_type") == "delete_row", F.lit(False))
+    located = kind.isin("diagnose", "fix") & F.col(ROW).isNotNull() & F.col("column").isNotNull() & F.col(ROW).between(0, rows - 1)
+    located = F.coalesce(located & ((kind == "diagnose") | deletes | F.col("new_value").isNotNull()), F.lit(False))
+    start = F.array(*(F.lit(r).cast("bigint") for r in range(min(5, rows))))
+    blank = lambda c: F.coalesce(F.size(c) == 0 if c == "columns" else F.col(c) == "", F.lit(True))
+    listed = F.array_distinct(F.filter(F.slice("rows", 1, 10), lambda r: (r >= 0) & (r < rows)))
+    asked = F.when(F.col("rows").isNotNull(), listed).when(blank("columns") & blank("table"), start)
+    asked = F.when(kind == "inspect", F.coalesce(asked, F.array().cast("array<bigint>")))
+
+    key, zero = ["episode", "step", "n"], F.lit(0).cast("bigint")
+    counts = lambda **c: [c.get(k, zero).cast("bigint").alias(k) for k in ("new", "near", "found", "fixed", "wrong")]
+    plain = acts.where(~located).select(*key, F.when(kind == "inspect", "initial").when(kind == "finalize", "complete").otherwise("error").alias("result"), F.when(kind == "inspect", F.when(F.size(asked) == 0, 0.0)).otherwise(INVALID).alias("base"), *counts())
+
+    seen = acts.where(kind == "inspect").select(*key, F.explode(asked).alias(ROW)).groupBy("episode", ROW).agg(F.min(F.struct("n", "step")).alias("x")).select("episode", "x.step", "x.n", ROW, F.lit("inspect").alias("action_type"))
+    named = acts.where(located).select(*key, ROW, "action_type", "column", "issue_type", deletes.alias("deletes"), "new_value", (F.coalesce("justification", F.lit("")) != "").alias("justified"))
+    known = truth.groupBy(F.col(ROW).cast("bigint").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("ord", "column", "type", "expected"))).alias("_t"))
+    touch = named.unionByName(seen, True).join(known, ROW, "left").withColumn("t", F.get(F.filter("_t", lambda x: x["column"].isin(WHOLE_ROW) | (x["column"] == F.col("column"))), F.lit(0)))
+    touch = touch.withColumn("issues", F.coalesce(F.when(F.col("_t").isNotNull(), F.size("_t")), F.lit(0))).drop("_t")
+
+    hit, fixes, expected = F.col("t").isNotNull(), kind == "fix", F.col("t.expected")
+    compared = F.when(fixes & hit & (expected != "DELETE_ROW"), expected)
+    touch = touch.withColumn("credit", credits(F.coalesce("new_value", F.lit("None")), compared))
+    touch = touch.withColumn("credit", F.when(fixes & hit & (expected == "DELETE_ROW") & F.col("deletes"), FIX).otherwise(F.col("credit")))
+    good = fixes & hit & (F.col("credit") > 0)
+    able = ((kind == "diagnose") & hit) | good
+    cell, row = Window.partitionBy("episode", ROW, "column"), Window.partitionBy("episode", ROW)
+    first = lambda when, w: F.min(F.when(when, n)).over(w)
+    touch = touch.select("*", first(able, cell).alias("_cell"), first(good, cell).alias("_fix"), first(able & whole, row).alias("_whole"), first(able, row).alias("_any"))
+    before = lambda c: F.coalesce(n > c, F.lit(False))
+    named_before, fixed_before = before(F.least("_cell", "_whole")), before(F.col("_fix"))
+    finds = (kind != "inspect") & able & (n == F.col("_cell")) & ~before(F.col("_whole"))
+    said = lambda result, base: F.struct(result.alias("result"), base.alias("base"))
+    diagnosis = (
+        F.when(named_before, said(F.lit("already_found"), F.lit(LEAST_SCORE)))
+        .when(hit, said(F.lit("correct"), F.lit(DIAGNOSE) + F.when(F.col("issue_type") == F.col("t.type"), TYPE_BONUS).otherwise(0.0)))
+        .otherwise(said(F.lit("incorrect"), F.lit(FALSE_POSITIVE)))
+    )
+    repair = (
+        F.when(fixed_before, said(F.lit("already_found"), F.lit(LEAST_SCORE)))
+        .when(hit & expected.isNull(), said(F.lit("partial"), F.lit(LEAST_SCORE)))
+        .when(~good, said(F.lit("incorrect"), F.lit(WRONG_FIX)))
+        .otherwise(said(F.when(F.col("credit") == FIX, "correct").otherwise("partial"), F.col("credit") + F.when(F.col("justified"), JUSTIFIED).otherwise(0.0)))
+    )
+    one = lambda c: F.when(c, 1).otherwise(0)
+    done = touch.withColumn("o", F.when(kind == "diagnose", diagnosis).when(fixes, repair))
+    looks = kind == "inspect"
+    done = done.select(*key, "o.result", "o.base", *counts(new=one(looks), near=F.when(looks & ~before(F.col("_any")), F.col("issues")).otherwise(0), found=one(finds), fixed=one(good & (n == F.col("_fix"))), wrong=one((kind == "diagnose") & ~hit)))
+    return done.unionByName(plain).groupBy(*key).agg(F.max("result").alias("result"), F.max("base").alias("base"), *(F.sum(c).alias(c) for c in ("new", "near", "found", "fixed", "wrong")))
+
+
+def replay_long(actions: DataFrame, truth: DataFrame, rows: int, most_steps: int) -> DataFrame:
+    """``replay`` for sessions of any length; no task holds more of one than a block.
+
+    What an action does to its rows is found by row. The running counts, and the total held between its
+    limits, are carried on from block to block: a block's walk is known by its sum and by where it ends
+    from the least and from the most total, and such walks compose. Where a block ends alike from both,
+    as nearly always, the next one starts from the very number that a fold of single actions gives;
+    otherwise rounding may differ. Intermediate tables stay on the executors' disks.
+    """
+    wanted = {"rows": "array<bigint>", "columns": "array<string>", "table": "string", "new_value": "string", "fix_type": "string", "justification": "string", "issue_type": "string"}
+    every = actions.select("episode", "step", "action_type", F.col(ROW).cast("bigint").alias(ROW), "column", *((F.col(c) if c in actions.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()))
+    total = truth.agg(F.count("*").alias("n"), F.count("expected").alias("fixable")).first()
+    truths, fixable = total["n"], total["fixable"]
+    acts = _numbered(every, most_steps).persist(StorageLevel.DISK_ONLY)
+    parts = _outcomes(acts, truth, rows).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)).persist(StorageLevel.DISK_ONLY)
+    key, late = ["episode", "block"], int(most_steps * LATE_SHARE)
+
+    sums = parts.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("new", "found", "fixed", "wrong")))
+    order = Window.partitionBy("episode").orderBy("block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*key, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("new", "found", "fixed", "wrong")), F.lead("block").over(order).isNotNull().alias("goes_on"))
+    steps = parts.join(starts, key)
+
+    def deltas(g: pd.DataFrame) -> np.ndarray:
+        near, new = g["near"].to_numpy(float), g["new"].to_numpy(float)
+        covered = (g["new_before"] + g["new"].cumsum()).to_numpy(float)
+        looked = np.where(new > 0, near * EXPLORE + new * EXPLORE * 0.5 * (1 - covered / max(rows, 1)), REINSPECT)
+        base = g["base"].to_numpy(float)
+        return np.where(np.isnan(base), looked, base) + np.where(g["n"].to_numpy() > late, LATE, 0.0)
+
+    def ends(g: pd.DataFrame) -> pd.DataFrame:
+        d = deltas(g.sort_values("n")).tolist()
+        low, high = LEAST_SCORE, MOST_SCORE
+        for x in d:
+            low = max(LEAST_SCORE, min(MOST_SCORE, low + x))
+            high = max(LEAST_SCORE, min(MOST_SCORE, high + x)) if high != low else low
+        return pd.DataFrame([(g["episode"].iloc[0], g["block"].iloc[0], math.fsum(d), low, high)], columns=["episode", "block", "sum", "low", "high"])
+
+    def chain(g: pd.DataFrame) -> pd.DataFrame:
+        g, x, out = g.sort_values("block"), LEAST_SCORE, []
+        for s, low, high in zip(g["sum"], g["low"], g["high"], strict=True):
+            x = min(high, max(low, x + s))
+            out.append(x)
+        return pd.DataFrame({"episode": g["episode"], "block": g["block"] + 1, "start": out})
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("n")
+        first = g["start"].iloc[0]
+        total, out = LEAST_SCORE if math.isnan(first) else first, []
+        found, fixed, wrong = ((g[f"{c}_before"] + g[c].cumsum()).tolist() for c in ("found", "fixed", "wrong"))
+        for i, (n, d, result) in enumerate(zip(g["n"].tolist(), deltas(g).tolist(), g["result"], strict=True)):
+            if result == "complete":
+                after = score_of(found[i], fixed[i], wrong[i], truths, fixable)
+                d = after - total
+            else:
+                after = max(LEAST_SCORE, total + d)
+                if n >= most_steps:
+                    after = max(after, score_of(found[i], fixed[i], wrong[i], truths, fixable))
+                after = max(LEAST_SCORE, min(MOST_SCORE, after))
+            total = after
+            out.append((max(LEAST_SCORE, min(MOST_SCORE, d)), total, result == "complete" or n >= most_steps))
+        delta, cumulative, done = zip(*out, strict=True)
+        return pd.DataFrame({"episode": g["episode"].to_numpy(), "step": g["step"].to_numpy(), "result": g["result"].to_numpy(), "delta": delta, "cumulative": cumulative, "found": found, "fixed": fixed, "false_positives": wrong, "done": done})
+
+    walks = steps.where("goes_on").groupBy(*key).applyInPandas(ends, "episode bigint, block bigint, sum double, low double, high double")
+    begun = walks.groupBy("episode").applyInPandas(chain, "episode bigint, block bigint, start double")  # a row a block
+    return steps.join(begun, key, "left").groupBy(*key).applyInPandas(fold, EPISODE)
+
+
 def informed_actions(truth: DataFrame) -> DataFrame:
     """The actions of an agent that knows the truth: diagnose every issue, fix those with a value, finish."""
     t = truth.select(ROW, "column", "type", "expected", "ord")

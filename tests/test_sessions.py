@@ -141,3 +141,53 @@ def test_sessions_from_subsets_of_truth(spark):
         mine = got[got["episode"] == e].sort_values("step")
         assert mine["result"].tolist() == [w[0] for w in want] and np.allclose(mine["cumulative"], [w[2] for w in want])
     assert isinstance(got, pd.DataFrame) and json.dumps(got["step"].max().item())
+
+
+def test_long_sessions_like_one_fold(spark, monkeypatch):
+    """Sessions replayed by blocks give what one fold of their actions gives, in every step."""
+    monkeypatch.setattr(audit, "BLOCK", 7)
+    r = np.random.default_rng(5)
+    truth = [(int(r.integers(0, 40)), str(r.choice(["a", "b", "_row"], p=[0.5, 0.4, 0.1])), str(r.choice(["t", "u"])), [None, "v", "10", "DELETE_ROW"][int(r.integers(0, 4))], i) for i in range(60)]
+    kinds, maybe = ["diagnose", "fix", "inspect", "dance"], lambda v: v if r.random() < 0.9 else None
+    acts = []
+    for e in range(5):
+        for s in range(200):
+            kind = str(r.choice(kinds, p=[0.35, 0.35, 0.25, 0.05])) if (e, s) != (3, 101) else "finalize"
+            listed = [int(x) for x in r.integers(-3, 60, 14)] if r.random() < 0.7 else None
+            acts.append((e, 2 * s + 1, kind, maybe(int(r.integers(-2, 52))), maybe(str(r.choice(["a", "b", "c", "_row"]))), maybe(str(r.choice(["t", "u"]))), maybe(str(r.choice(["v", " V", "10.05", "x"]))), str(r.choice(["correct_value", "delete_row"])), maybe("why"), listed, None if r.random() < 0.8 else "products"))
+    a = spark.createDataFrame(acts, f"episode long, step int, action_type string, {ROW} bigint, column string, issue_type string, new_value string, fix_type string, justification string, rows array<bigint>, `table` string").repartition(3)
+    t = spark.createDataFrame(truth, f"{ROW} bigint, column string, type string, expected string, ord int")
+    for most in (150, 1000):
+        got = audit.replay_long(a, t, 50, most).toPandas()
+        for e in range(5):
+            s, want = audit.Session([{"row": x[0], "column": x[1], "type": x[2], "expected": x[3]} for x in truth], 50, most), []
+            for x in acts:
+                if x[0] == e and not s.done:
+                    result, delta, total = s.act({"action_type": x[2], "row": x[3], "column": x[4], "issue_type": x[5], "new_value": x[6], "fix_type": x[7], "justification": x[8], "rows": x[9], "table": x[10]})
+                    want.append((x[1], result, len(s.found), len(s.fixed), s.false_positives, s.done, delta, total))
+            mine = got[got["episode"] == e].sort_values("step")
+            assert list(zip(*(mine[c] for c in ("step", "result", "found", "fixed", "false_positives", "done")), strict=True)) == [w[:6] for w in want]
+            assert np.allclose(mine[["delta", "cumulative"]].to_numpy(), [w[6:] for w in want], rtol=0, atol=1e-12)
+
+
+def test_long_audits_are_dealt_over_tasks(spark):
+    """A session of as many steps as its table has rows isn't one group, and its plan is neither sorted nor
+    numbered in one task; the steps are those of the surest issues in order."""
+    n = 30_000
+    issues = spark.range(n).selectExpr(f"id as {ROW}", "'a' as column", "'t' as type", "if(id % 3 = 0, 'v', null) as fix", "double(id % 7) / 7 as confidence", "int(id % 2) as emit_ord").repartition(5)
+    acts = audit.heuristic_actions(issues, n, n, "a", ("products",))
+    plan = acts._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan and "LogicalRDD" not in plan
+    got = acts.where("action_type = 'diagnose'").orderBy("step").toPandas()
+    want, step = [], n // 10 + 1
+    for i in sorted(range(n), key=lambda i: (-(i % 7), i % 2, i)):
+        if step + 1 <= n:
+            want.append((step + 1, i))
+        step += 1 + (i % 3 == 0)
+    assert list(zip(got["step"], got[ROW], strict=True)) == want
+    truth = issues.selectExpr(ROW, "column", "type", "fix as expected", "1 as ord").where(f"{ROW} % 2 = 0")
+    out = audit.replay(acts, truth, n, n)
+    assert "FlatMapCoGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    last = out.orderBy(F.desc("step")).first()
+    assert last["step"] == n and last["done"] and out.count() == n
+    assert last["found"] == sum(i % 2 == 0 for _, i in want) and last["false_positives"] == sum(i % 2 for _, i in want)
