@@ -100,6 +100,15 @@ def issue_flags(truth: DataFrame, found: DataFrame, fixed: DataFrame) -> DataFra
     return joined.select(*truth.columns, fixable.alias("fixable"), F.coalesce(hit, F.lit(False)).alias("detected"), F.when(fixable, F.coalesce("_done", F.lit(False))).alias("fixed"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its plan cut short: plans that nest fill the driver. A checkpoint where
+    ``spark.checkpoint.dir`` is set, a local one in a session of one JVM, else persisted."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    return df.localCheckpoint() if context.master.split("[")[0] == "local" else df.persist(StorageLevel.DISK_ONLY)
+
+
 def heuristic_actions(issues: DataFrame, rows: int, most_steps: int, first_column: str, related: tuple[str, ...] = ()) -> DataFrame:
     """The actions of an audit by rules, one session: inspect all rows by tens and the ``related`` tables,
     then for each cell's surest issue (_row, column, type, fix, confidence, emit_ord) a diagnosis and, where
@@ -120,8 +129,8 @@ def heuristic_actions(issues: DataFrame, rows: int, most_steps: int, first_colum
         look = look.unionByName(spark.range(len(tables)).select(*inspect(batches + 1 + i, F.array(F.lit(0).cast("bigint")), name)))
     order = [F.desc("confidence"), F.asc("emit_ord"), F.asc(ROW), F.asc("column")]
     cost = F.when(F.coalesce(F.col("fix"), F.lit("")) != "", 2).otherwise(1).cast("bigint")
-    best = best_confidence(issues).select(ROW, "column", "type", "fix", "confidence", "emit_ord", cost.alias("cost")).persist(StorageLevel.DISK_ONLY)  # sampled for its ranges first
-    cut = best.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    best = best_confidence(issues).select(ROW, "column", "type", "fix", "confidence", "emit_ord", cost.alias("cost"))
+    cut = settled(settled(best).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))  # sampled for its ranges first
     sums = cut.groupBy("part").agg(F.sum("cost").alias("sum"))
     starts = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum") + seen).alias("start"))  # a row a range
     placed = cut.join(starts, "part").withColumn("before", F.col("start") + F.sum("cost").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost"))
@@ -455,14 +464,14 @@ def replay_long(actions: DataFrame, truth: DataFrame, rows: int, most_steps: int
     limits, are carried on from block to block: a block's walk is known by its sum and by where it ends
     from the least and from the most total, and such walks compose. Where a block ends alike from both,
     as nearly always, the next one starts from the very number that a fold of single actions gives;
-    otherwise rounding may differ. Intermediate tables stay on the executors' disks.
+    otherwise rounding may differ. Intermediate tables are ``settled``.
     """
     wanted = {"rows": "array<bigint>", "columns": "array<string>", "table": "string", "new_value": "string", "fix_type": "string", "justification": "string", "issue_type": "string"}
     every = actions.select("episode", "step", "action_type", F.col(ROW).cast("bigint").alias(ROW), "column", *((F.col(c) if c in actions.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()))
     total = truth.agg(F.count("*").alias("n"), F.count("expected").alias("fixable")).first()
     truths, fixable = total["n"], total["fixable"]
-    acts = _numbered(every, most_steps).persist(StorageLevel.DISK_ONLY)
-    parts = _outcomes(acts, truth, rows).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)).persist(StorageLevel.DISK_ONLY)
+    acts = settled(_numbered(every, most_steps))
+    parts = settled(_outcomes(acts, truth, rows).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)))
     key, late = ["episode", "block"], int(most_steps * LATE_SHARE)
 
     sums = parts.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("new", "found", "fixed", "wrong")))
